@@ -35,6 +35,7 @@ MAX_FEATURES = 1024
 STARTS = (4, 5, 6)
 #: Chosen features that a positive needs before it stops to call for more; deviations from chance that a feature needs.
 COVER = 3
+LEAST_HOLDERS = 3
 LEAST_GAIN = 4.0
 _MEMO = 1 << 18
 
@@ -85,43 +86,73 @@ class LinearModel:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def select_features(positive: list[set[bytes]], unlabelled: list[set[bytes]], limit: int) -> list[bytes]:
+class Sample:
+    """Feature ids of positive and unlabelled texts. Only features of LEAST_HOLDERS positives or more have an id."""
+
+    def __init__(self, positive: list[bytes], unlabelled: list[bytes]):
+        count = Counter(f for x in positive for f in features(x))
+        self.names = sorted(f for f, n in count.items() if n >= LEAST_HOLDERS)
+        del count
+        self.ids = {f: k for k, f in enumerate(self.names)}
+        self.positive = [self._known(x) for x in positive]
+        self.unlabelled = [self._known(x) for x in unlabelled]
+
+    def _known(self, text: bytes) -> np.ndarray:
+        get = self.ids.get
+        found = (get(f) for f in features(text))
+        return np.fromiter((k for k in found if k is not None), dtype=np.int32)
+
+    def matrix(self, rows: list[np.ndarray], chosen: list[int]) -> np.ndarray:
+        column = np.full(len(self.names), -1)
+        column[chosen] = np.arange(len(chosen))
+        out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
+        for k, row in enumerate(rows):
+            at = column[row]
+            out[k, at[at >= 0]] = 1
+        return out
+
+
+def select_features(sample: Sample, limit: int) -> list[int]:
     """Features that stand in the positives far more often than chance would have it, best first.
 
     Lazy greedy cover: a positive that COVER chosen features tell already no longer counts for the next one, so copies
     of one text don't bring in all of its words, and each kind of positive gets features of its own.
     """
-    holders: dict[bytes, list[int]] = {}
-    for k, row in enumerate(positive):
-        for f in row:
-            holders.setdefault(f, []).append(k)
-    u = Counter(f for x in unlabelled for f in x if f in holders)
+    names, positive, unlabelled = sample.names, sample.positive, sample.unlabelled
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *positive])
+    owner = np.repeat(np.arange(len(positive)), [len(x) for x in positive])[np.argsort(flat, kind="stable")]
+    n_holders = np.bincount(flat, minlength=len(names))
+    ends = np.cumsum(n_holders)
+    u = np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *unlabelled]), minlength=len(names))
     covered = np.zeros(len(positive), dtype=np.int64)
 
-    def gain(f: bytes) -> float:
-        n = int((covered[holders[f]] < COVER).sum())
+    def holders(f: int) -> np.ndarray:
+        return owner[ends[f] - n_holders[f] : ends[f]]
+
+    def gain(f: int) -> float:
+        n = int((covered[holders(f)] < COVER).sum())
         rate = (u[f] + 1) / (len(unlabelled) + 2)
         mean = rate * (covered < COVER).sum()
-        return (n - mean) / math.sqrt(mean * (1 - rate) + 1) if n >= 3 else 0.0
+        return (n - mean) / math.sqrt(mean * (1 - rate) + 1) if n >= LEAST_HOLDERS else 0.0
 
-    heap = [(-gain(f), len(f), f) for f, x in holders.items() if len(x) >= 3]
+    heap = [(-gain(f), len(x), x, f) for f, x in enumerate(names)]
     heapq.heapify(heap)
-    chosen: list[bytes] = []
-    stems: list[bytes] = []
+    chosen: list[int] = []
+    stems: list[tuple[bytes, int]] = []
     while heap and len(chosen) < limit:
-        _, size, f = heapq.heappop(heap)
+        _, size, name, f = heapq.heappop(heap)
         now = gain(f)
         if now <= LEAST_GAIN:
             continue
         if heap and now < -heap[0][0]:
-            heapq.heappush(heap, (-now, size, f))
+            heapq.heappush(heap, (-now, size, name, f))
             continue
-        stem = f.lstrip(b"=")
-        if any(stem.startswith(x) or x.startswith(stem) and len(holders[x]) > 0.9 * len(holders[f]) for x in stems):
+        stem = name.lstrip(b"=")
+        if any(stem.startswith(x) or x.startswith(stem) and n > 0.9 * n_holders[f] for x, n in stems):
             continue  # it tells nothing that a chosen start of the same words doesn't
         chosen.append(f)
-        stems.append(stem)
-        covered[holders[f]] += 1
+        stems.append((stem, n_holders[f]))
+        covered[holders(f)] += 1
     return chosen
 
 
@@ -174,24 +205,18 @@ def train(
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(key), "id")
     positive, unlabelled = [], []
     for row in texts.toLocalIterator():
-        found = features((row["text"] or "").encode())
+        raw = (row["text"] or "").encode()
         if 1 in role[row["id"]]:
-            positive.append(found)
+            positive.append(raw)
         if 0 in role[row["id"]]:
-            unlabelled.append(found)
+            unlabelled.append(raw)
     if not positive or not unlabelled:
         return LinearModel({}, -40.0)
-    chosen = select_features(positive, unlabelled, max_features)
-    column = {f: k for k, f in enumerate(chosen)}
-
-    def matrix(rows: list[set[bytes]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-        for k, row in enumerate(rows):
-            out[k, [column[f] for f in row if f in column]] = 1
-        return out
-
-    weights, bias = fit_nnpu(matrix(positive), matrix(unlabelled), prior)
-    return LinearModel({f: float(x) for f, x in zip(chosen, weights)}, bias)
+    sample = Sample(positive, unlabelled)
+    chosen = select_features(sample, max_features)
+    parts = (sample.matrix(x, chosen) for x in (sample.positive, sample.unlabelled))
+    weights, bias = fit_nnpu(*parts, prior)
+    return LinearModel({sample.names[f]: float(x) for f, x in zip(chosen, weights)}, bias)
 
 
 def _scores(held, batch: pa.RecordBatch, text: str) -> pa.Array:
