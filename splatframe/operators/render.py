@@ -75,11 +75,13 @@ def project(df: DataFrame, camera: Camera) -> DataFrame:
     mid = 0.5 * (F.col("cxx") + F.col("cyy"))
     top = mid + F.sqrt(F.greatest(F.lit(0.1), mid * mid - det))
     shade = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sh")[k].cast("double") * C0 + 0.5))
-    return flat.filter(det > 0).select(
-        "splat_id", "px", "py", F.col("t2").alias("depth"), (F.col("cyy") / det).alias("conic_xx"), (-F.col("cxy") / det).alias("conic_xy"),
+    # One generator both filters and binds: a filter would be pushed below and repeat the whole form at each use.
+    row = F.struct(
+        F.col("px"), F.col("py"), F.col("t2").alias("depth"), (F.col("cyy") / det).alias("conic_xx"), (-F.col("cxy") / det).alias("conic_xy"),
         (F.col("cxx") / det).alias("conic_yy"), F.ceil(3 * F.sqrt(top)).cast("int").alias("radius"),
         shade(0).alias("r"), shade(1).alias("g"), shade(2).alias("b"), sigmoid(F.col("opacity")).alias("alpha"),
-    ).filter("radius > 0")
+    )
+    return flat.select("splat_id", F.inline(F.when(det > 0, F.array(row)))).filter("radius > 0")
 
 
 def splat_pixels(projected: DataFrame, width: int, height: int) -> DataFrame:
