@@ -112,8 +112,8 @@ def multiply(a: Quat, b: Quat) -> Quat:
 
 
 def from_normal(nx: Column, ny: Column, nz: Column) -> Quat:
-    """Turns +Z to the normal; identity near +Z, half a turn about x near -Z."""
-    s = F.sqrt(2 * F.greatest(1 + nz, F.lit(1e-12)))
+    """Turns +Z to the normal; identity near +Z, half a turn about x near -Z; null parts stay null."""
+    s = F.sqrt(2 * F.when(nz.isNotNull(), F.greatest(1 + nz, F.lit(1e-12))))
     up, down = nz > 0.9999, nz < -0.9999
     pick = lambda a, b, c: F.when(up, F.lit(a)).when(down, F.lit(b)).otherwise(c)
     return pick(0.0, 1.0, -ny / s), pick(0.0, 0.0, nx / s), pick(0.0, 0.0, F.lit(0.0)), pick(1.0, 0.0, s / 2)
