@@ -208,31 +208,33 @@ def scan(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    held = [spark.sparkContext.broadcast(x) for x in _shards(benchmark, item_id, item_text, window, shard_words)]
+    alone = len(held) < 2
+    # Several shards meet again by id and text: rows that share both have the same result, so their number is enough.
+    key = F.lit(None).cast("string") if alone else F.md5(F.col(text).cast("binary"))
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), key.alias("key"))
+    keyed = T.StructType([*schema.fields, T.StructField("key", T.StringType())])
 
     def through(automaton) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sam = automaton.value if automaton else None
             for whole in batches:
                 for batch in slices(whole):
-                    yield _scan_batch(sam, batch)
+                    yield _scan_batch(sam, batch).append_column("key", batch["key"])
 
-        return picked.mapInArrow(run, schema)
+        return picked.mapInArrow(run, keyed)
 
-    held = [spark.sparkContext.broadcast(x) for x in _shards(benchmark, item_id, item_text, window, shard_words)]
-    parts = [through(x) for x in held or [None]]
-    if len(parts) == 1:
-        return parts[0]
-    # Each row takes part in every shard once; rows, not ids, are brought together, so repeated ids stay apart.
-    out = parts[0].withColumn("shard", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        out = out.unionByName(part.withColumn("shard", F.lit(k)))
-    # Same id: the k-th row of each shard belongs together as all shards give rows in an order that n_words fixes.
-    raise_on = F.count("*") != F.lit(len(parts))
-    gathered = out.groupBy("id").agg(
+    if alone:
+        return through(held[0] if held else None).drop("key")
+    out = through(held[0]).withColumn("shard", F.lit(0))
+    for k, automaton in enumerate(held[1:], 1):
+        out = out.unionByName(through(automaton).withColumn("shard", F.lit(k)))
+    once = out.groupBy("id", "key", "shard").agg(
+        F.count("*").alias("rows"), *(F.first(n).alias(n) for n in ("n_words", "spans", "items"))
+    )
+    gathered = once.groupBy("id", "key").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("raw"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.when(raise_on, F.raise_error(F.lit("ids must be distinct for a benchmark of several shards"))).alias("bad"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("rows").alias("rows"),
     )
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,8 @@ def scan(
                 [batch["id"], batch["n_words"], packed, batch["items"]], ["id", "n_words", "spans", "items"]
             )
 
-    return gathered.select("id", "n_words", "raw", "items", "bad").mapInArrow(unite, schema)
+    repeated = gathered.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return repeated.select("id", "n_words", "raw", "items").mapInArrow(unite, schema)
 
 
 def _span_type() -> pa.DataType:
