@@ -73,4 +73,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_sharding": """
+        SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256,
+               CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes
+        FROM documents
+    """,
+    "op10_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        windows AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS t
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+        ),
+        places AS (
+            SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS t
+            FROM (
+                SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+            )
+        ),
+        met AS (SELECT r, i, places.n, item FROM places JOIN windows USING (n, t)),
+        hit AS (
+            SELECT r, count(DISTINCT k) AS n_hit
+            FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM met)) GROUP BY r
+        ),
+        names AS (
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT r, item FROM met) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
+    """,
+}
