@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ CHUNK_BYTES = 512
 #: Chunks are no longer than this, so one of a very long text can be kept.
 CHUNK_MOST = 4096
 _HASHED = 16
-#: Bytes of chunks that a worker keeps with their ids.
+#: Bytes of chunks and their ids that a worker keeps.
 CACHE_BYTES = 24 << 20
+_KEPT_COST = 256  # an entry's own bytes beside its content
 
 #: Before a space that stands alone between two characters of which neither is white space.
 _CALM = re.compile(rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xc9][\x80-\xbf]))(?= [\x21-\x7e\xc3-\xc9])")
@@ -119,21 +121,23 @@ class ChunkEncoder:
 
     def __init__(self, codec: Codec, cache_bytes: int = CACHE_BYTES):
         self.codec, self.cache_bytes = codec, cache_bytes
-        self.kept: dict[bytes, list[int]] = {}
+        self.kept: dict[bytes, array] = {}
         self.held = self.encoded = self.reused = self.repaired = 0
 
     def chunk(self, part: bytes) -> list[int]:
-        ids = self.kept.get(part)
-        if ids is None:
-            self.encoded += len(part)
-            ids = self.codec.encode(part)
-            if self.held + len(part) > self.cache_bytes:
-                self.kept.clear()
-                self.held = 0
-            self.kept[part] = ids
-            self.held += len(part)
-        else:
+        known = self.kept.get(part)
+        if known is not None:
             self.reused += len(part)
+            return known.tolist()
+        self.encoded += len(part)
+        ids = self.codec.encode(part)
+        packed = array("I", ids)
+        cost = len(part) + packed.itemsize * len(packed) + _KEPT_COST
+        if self.held + cost > self.cache_bytes:
+            self.kept.clear()
+            self.held = 0
+        self.kept[part] = packed
+        self.held += cost
         return ids
 
     def encode(self, text: bytes) -> list[int]:
