@@ -4,7 +4,7 @@ A document is the set of its five-word shingles (of fewer words: one shingle of
 entity with a weight, so exact copies are never compared. Bands and rows of the MinHash follow from a target recall.
 Band hashes are shuffled; a bucket with the members of an earlier band's bucket is dropped, as it holds no new pair.
 Members of the other buckets are verified on their full sets. A pair counts in its first common band alone. A large
-bucket is dealt as pairs of blocks of bounded weight, and a block pair gives one row per member: its links and the
+bucket is dealt as pairs of blocks of bounded weight and number, and a block pair gives one row per member: its links and the
 least entity that it is connected with. Neither pairs nor buckets are ever gathered whole, and no partner is capped.
 
 Only candidates' texts are read again: their ids are marked in a bitmap of fixed size, which lets through all
@@ -37,6 +37,8 @@ TARGET_RECALL = 0.999
 MOST_ROWS = 4
 #: Shingles of a block; a block pair's sets fit in a worker's memory.
 BLOCK_SHINGLES = 400_000
+#: Members of a block; a block pair's square matrices have about twice as many rows.
+BLOCK_MEMBERS = 1024
 #: Bits of the map that thins out the second reading; a few bytes a candidate do.
 BITMAP_BITS = 1 << 23
 
@@ -167,30 +169,42 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), width), dtype=np.float32)
         part[owner[a:b], column[a:b] - k * width] = 1
         both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    out = NEAR[1] * both >= NEAR[0] * union
+    out = np.zeros(both.shape, dtype=bool)
+    for rows in _slabs(len(sets)):  # shared / union >= NEAR, in whole numbers
+        total = sizes[rows, None] + sizes[None, :]
+        out[rows] = sum(NEAR) * both[rows].astype(np.int64) >= NEAR[0] * total
     np.fill_diagonal(out, False)
     return out
 
 
+def _slabs(n: int) -> Iterator[slice]:
+    """Ranges of rows of a square matrix, of about a million cells each: what is derived from it stays small."""
+    step = max(1, (1 << 20) // max(1, n))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
 def verify(band: int, blocks: list[int], i: int, j: int, sets: list[np.ndarray], bands: np.ndarray, mult: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a block pair: weights of the links that count here, and each member's component (least member)."""
     near = linked(sets)
     if i != j:  # pairs inside a block are the business of (i, i) and (j, j)
         block = np.array(blocks)
         near &= block[:, None] != block[None, :]
-    label = np.arange(len(sets))
+    n = len(sets)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        least = np.where(near, label[None, :], len(sets)).min(axis=1)
+        least = np.concatenate([np.where(near[r], label[None, :], np.int32(n)).min(axis=1) for r in _slabs(n)])
         fresh = np.minimum(label, least)
         fresh = fresh[fresh]
         if (fresh == label).all():
             break
         label = fresh
-    fresh_pairs = near.copy()
-    for b in range(band):
-        fresh_pairs &= bands[:, b][:, None] != bands[:, b][None, :]
-    return fresh_pairs @ mult, label
+    weights = np.zeros(n, dtype=np.int64)
+    for r in _slabs(n):
+        fresh_pairs = near[r].copy()
+        for b in range(band):
+            fresh_pairs &= bands[r, b][:, None] != bands[:, b][None, :]
+        weights[r] = fresh_pairs @ mult
+    return weights, label
 
 
 def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +268,7 @@ def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
 
 
 def _buckets(entities: DataFrame) -> DataFrame:
-    """(set_key, band, h, weight): members of the buckets that may hold a pair not met in an earlier band."""
+    """(set_key, band, h, c, weight): members of the buckets that may hold a pair not met in an earlier band."""
     exploded = entities.select("set_key", "n", F.posexplode("bands").alias("band", "h"))
     full = (
         exploded.groupBy("band", "h")
@@ -264,7 +278,7 @@ def _buckets(entities: DataFrame) -> DataFrame:
         )
         .filter("c > 1")
     )
-    first = full.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h", "weight")).alias("k")).select("k.*")
+    first = full.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h", "c", "weight")).alias("k")).select("k.*")
     return exploded.drop("n").join(first, ["band", "h"])
 
 
@@ -306,7 +320,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int)
         own["set_key"], own["mult"], own["bands"], sets["set"]
     )
     sets = sets.dropDuplicates(["set_key"])
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
+    blocks = F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("c") / BLOCK_MEMBERS)).cast("int")
     dealt = (
         members.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("set_key", F.lit(7)), F.col("blocks")).cast("int"))
