@@ -56,7 +56,9 @@ def repeat_words(docs: list[list[bytes]], window: int = REPEAT_WINDOW) -> list[i
     while span < window and len(alive):  # rank[i] names the span words from i; only repeated ones of a text go on
         step = min(span, window - span)
         alive = alive[alive + span + step <= ends[owner[alive]]]
-        key = ranks[alive] * (int(ranks.max()) + 1) + ranks[alive + step if step < span else alive + span]
+        if span > 1:  # rank 0: what is joined stands once in its text, so the longer span does too
+            alive = alive[ranks[alive + step] > 0]
+        key = ranks[alive] * (int(ranks.max()) + 1) + ranks[alive + step]
         _, inverse = np.unique(key, return_inverse=True)
         pair = inverse * len(kept) + owner[alive]
         _, where, count = np.unique(pair, return_inverse=True, return_counts=True)

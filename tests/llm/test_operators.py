@@ -104,6 +104,16 @@ def test_quality_counts(make, texts):
     assert quality.judge(make([])).count() == 0
 
 
+def test_repeated_words_that_go_on_differently():
+    rng = random.Random(3)
+    docs = ["a b c d p q r s t u v w a b c d k l m n o x y z"]
+    docs += [" ".join(rng.choice("abcdefghijklmnop"[: rng.randrange(2, 16)]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    phrase = sentence(rng, 4)
+    docs += [" ".join(f"{sentence(rng, 9)} {phrase} {sentence(rng, 9)}" for _ in range(3)) for _ in range(50)]
+    got = quality.repeat_words([d.encode().split() for d in docs])
+    assert got == [brute_quality(d)[4] for d in docs]
+
+
 def test_bpe_is_the_librarys(make, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
