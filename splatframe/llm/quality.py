@@ -4,7 +4,8 @@ measure() counts what each whole text holds. sketches() is a log-linear histogra
 an integer keeps its seven leading bits, so a bucket's width is at most 1/64 of its value, and two sketches merge by
 adding counts. Counting is a plain aggregate with map-side combining: a hot source sends one row per bucket and task.
 Thresholds are fences around the middle half, `q25 - FENCE * spread` to `q75 + FENCE * spread`, so they adapt to
-each group and reject nothing in a group without outliers. A group with under MIN_ROWS documents takes the merged
+each group and reject nothing in a group without outliers. Repeated lines and words are one-sided, and nil in most
+documents: their fence lies as far above q95 as q95 above q75, and at FLOOR at least. A group with under MIN_ROWS documents takes the merged
 sketch of its language, and below that of all documents. judge() joins the thresholds to the measures.
 
 Null and empty texts have no words and fail the base rules; null lang and source are groups of their own. Empty
@@ -31,7 +32,10 @@ MAX_REPEAT_PERCENT = 30
 MIN_ROWS = 200
 #: How many spreads beyond the middle half a value may lie, and the least spread, by measure.
 FENCE = 8
-LEAST_SPREAD = {"word_milli": 150, "symbol_myriad": 60, "dup_line_myriad": 500, "repeat_myriad": 400}
+LEAST_SPREAD = {"word_milli": 150, "symbol_myriad": 60}
+#: The least upper fence of the one-sided measures. The base rules leave repeat_myriad up to 3000.
+FLOOR = {"dup_line_myriad": 2000, "repeat_myriad": 1500}
+MEASURES = sorted({**LEAST_SPREAD, **FLOOR})
 
 _KEPT_BITS = 7
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -126,15 +130,19 @@ def measure(
 
 def bucket(value: Column) -> Column:
     """A bucket's least value: value with all but its leading bits set to zero."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(value)) - _KEPT_BITS)
-    step = F.pow(F.lit(2.0), shift).cast("long")
+    step = bucket_width(value)
     return F.floor(value / step) * step
 
 
+def bucket_width(value: Column) -> Column:
+    shift = F.greatest(F.lit(0), F.length(F.bin(value)) - _KEPT_BITS)
+    return F.pow(F.lit(2.0), shift).cast("long")
+
+
 def sketches(measures: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) of the documents that pass the base rules."""
     pairs = F.array(
-        *(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in sorted(LEAST_SPREAD))
+        *(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES)
     )
     return (
         measures.filter(~F.col("base_failed"))
@@ -160,15 +168,23 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
         return F.aggregate("sketch", start, step)["at"]
 
-    least = F.create_map(*(F.lit(x) for pair in sorted(LEAST_SPREAD.items()) for x in pair))
+    least, floor = (F.create_map(*(F.lit(x) for pair in sorted(d.items()) for x in pair)) for d in (LEAST_SPREAD, FLOOR))
     spread = F.greatest(F.col("q75") - F.col("q25"), least[F.col("measure")])
+    last = F.col("q95") + bucket_width(F.col("q95")) - 1  # all values of its bucket lie within
+    tail = F.greatest(last + F.col("q95") - F.col("q75"), floor[F.col("measure")])
+    one_sided = F.col("measure").isin(*FLOOR)
     fenced = (
         merged.groupBy(*keys, "measure").agg(ordered.alias("sketch")).withColumn("rows", total)
-        .withColumns({"q25": quantile(25), "q75": quantile(75)})
-        .withColumns({"low": F.col("q25") - FENCE * spread, "high": F.col("q75") + FENCE * spread})
+        .withColumns({f"q{x}": quantile(x) for x in (25, 75, 95)})
+        .withColumns(
+            {
+                "low": F.when(one_sided, F.lit(0).cast("long")).otherwise(F.col("q25") - FENCE * spread),
+                "high": F.when(one_sided, tail).otherwise(F.col("q75") + FENCE * spread),
+            }
+        )
     )
     columns = [F.max("rows").alias("rows")]
-    for m in sorted(LEAST_SPREAD):
+    for m in MEASURES:
         columns += [F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}") for x in ("low", "high")]
     return fenced.groupBy(*keys).agg(*columns)
 
@@ -178,7 +194,7 @@ def thresholds(measures: DataFrame) -> DataFrame:
     sketch = saved(sketches(measures), "quality-sketch")
     groups = measures.select("lang", "source").distinct()
     fine, lang, whole = (_fences(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    fences = [f"{x}_{m}" for m in sorted(LEAST_SPREAD) for x in ("low", "high")]
+    fences = [f"{x}_{m}" for m in MEASURES for x in ("low", "high")]
     g = groups.alias("g").join(
         fine.alias("f"), F.col("g.lang").eqNullSafe(F.col("f.lang")) & F.col("g.source").eqNullSafe(F.col("f.source")),
         "left",
@@ -207,6 +223,6 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def _within() -> Column:
     within = F.lit(True)
-    for m in LEAST_SPREAD:
+    for m in MEASURES:
         within = within & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     return within

@@ -114,6 +114,29 @@ def test_repeated_words_that_go_on_differently():
     assert got == [brute_quality(d)[4] for d in docs]
 
 
+def test_each_quality_rule_can_reject(make):
+    rng = random.Random(4)
+    plain = [(k, "\n".join(sentence(rng, 10) for _ in range(12))) for k in range(250)]
+    third = [sentence(rng, 5) for _ in range(8)]  # 4 of 12 short lines are copies, no window of 8 words is
+    third = "\n".join(x for k, line in enumerate(third) for x in ([line, sentence(rng, 5), line] if k < 4 else [line]))
+    phrase = sentence(rng, 14)
+    outliers = {
+        900: " ".join("x" * 60 for _ in range(3)) + " " + " ".join("y" * (40 + k) for k in range(30)),
+        901: " ".join(f"{sentence(rng, 1)} #$%{k}" for k in range(30)),
+        902: third,
+        903: f"{sentence(rng, 34)} {phrase} {sentence(rng, 34)} {phrase}",  # 28 of 96 words
+    }
+    rows = {r["doc_id"]: r for r in quality.judge(make([*plain, *outliers.items()])).collect()}
+    for k, m in zip(outliers, ("word_milli", "symbol_myriad", "dup_line_myriad", "repeat_myriad")):
+        r = rows[k]
+        assert not r["base_failed"] and not r["kept"], (k, m)
+        out = [x for x in ("word_milli", "symbol_myriad", "dup_line_myriad", "repeat_myriad") if not r[f"low_{x}"] <= r[x] <= r[f"high_{x}"]]
+        assert out == [m]
+    assert all(rows[k]["kept"] for k, _ in plain)
+    alike = [(k, f"{sentence(rng, 34)} {phrase} {sentence(rng, 34)} {phrase}") for k in range(250)]
+    assert all(r["kept"] for r in quality.judge(make(alike)).collect())
+
+
 def test_bpe_is_the_librarys(make, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
