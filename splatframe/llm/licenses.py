@@ -3,7 +3,7 @@
 Texts become lower-cased words with one space between. Exact phrases are word sequences (the base). Each notice may
 occur with up to `edits` insertions, deletions or substitutions of characters. By the pigeonhole principle one of
 its edits + 1 pieces then stands unchanged, so an exact search for the pieces finds every candidate window; the regex
-library's bounded-error matching verifies the window and reports the span and its edits.
+library's bounded-error matching verifies each window and reports the span and its edits.
 
 Null and empty texts have no words, labels or spans and score 0. Repeated rows each get their result; extra columns
 are ignored. Whole texts are searched, of any length.
@@ -11,8 +11,10 @@ are ignored. Whole texts are searched, of any length.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -89,24 +91,52 @@ def places(text: bytes, part: bytes) -> Iterator[int]:
         at = text.find(part, at + 1)
 
 
-def fuzzy(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(label, first byte, end, edits, notice's length) of each verified notice in a text of spaced words."""
-    for label, size, edits, parts, pattern in _compiled(notices):
-        windows = []
+def _seeds(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(notice, first, end, first byte and end of a piece) of each window in which that piece may belong to a notice."""
+    for k, (_, size, edits, parts, _) in enumerate(_compiled(notices)):
         for offset, part in parts:
             for at in places(text, part):
-                windows.append((max(0, at - offset - edits), at - offset + size + edits))
-        windows.sort()
-        at = 0
-        while at < len(windows):
-            first, end = windows[at]
-            while at < len(windows) and windows[at][0] <= end:
-                end = max(end, windows[at][1])
-                at += 1
-            pos = first
-            while m := pattern.search(text, pos, min(end, len(text))):
-                yield label, m.start(), m.end(), sum(m.fuzzy_counts), size
-                pos = max(m.end(), pos + 1)
+                yield k, max(0, at - offset - edits), min(len(text), at - offset + size + edits), at, at + len(part)
+
+
+def fuzzy(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(label, first byte, end, edits, notice's length) of verified notices in a text of spaced words.
+
+    Best fits come first, and spans don't overlap. Each piece has its own window; where a better notice takes a part
+    of it, what is left beside the piece is searched again, so a weaker neighbour isn't lost.
+    """
+    known, tried, heap = _compiled(notices), {}, []
+    firsts: list[int] = []  # of the spans that are taken, in order
+    ends: list[int] = []
+
+    def push(k: int, lo: int, hi: int, first: int, end: int) -> None:
+        label, size, edits, _, pattern = known[k]
+        if hi - lo < size - edits:
+            return
+        if (k, lo, hi) not in tried:
+            m = pattern.search(text, lo, hi)
+            tried[k, lo, hi] = m and (sum(m.fuzzy_counts), m.start(), m.end())
+        if found := tried[k, lo, hi]:
+            e, a, b = found
+            heappush(heap, (e / size, label, a, b, e, size, k, lo, hi, first, end))
+
+    for seed in _seeds(text, notices):
+        push(*seed)
+    while heap:
+        _, label, a, b, e, size, k, lo, hi, first, end = heappop(heap)
+        at = bisect_right(firsts, first)
+        if (at and ends[at - 1] > first) or (at < len(firsts) and firsts[at] < end):  # the piece itself is taken
+            continue
+        left, right = max(lo, ends[at - 1] if at else 0), min(hi, firsts[at] if at < len(firsts) else len(text))
+        if (left, right) == (lo, hi):
+            yield label, a, b, e, size
+            at = bisect_right(firsts, a)
+            firsts.insert(at, a)
+            ends.insert(at, b)
+            if a < end and first < b:
+                continue
+            left, right = (b, hi) if b <= first else (lo, a)
+        push(k, left, right, first, end)
 
 
 def scan_text(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> dict:
@@ -117,11 +147,8 @@ def scan_text(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> dict:
         for at in places(line, b" " + phrase.encode() + b" "):
             starts.append(line.count(b" ", 0, at + 1) - 1)
             base.add(label)
-    labels, spans, taken = set(base), [], []
-    for label, first, end, edits, size in sorted(fuzzy(line, notices), key=lambda x: (x[3] / x[4], x)):
-        if any(first < b and a < end for a, b in taken):  # a notice that fits better stands there
-            continue
-        taken.append((first, end))
+    labels, spans = set(base), []
+    for label, first, end, edits, size in fuzzy(line, notices):
         labels.add(label)
         best = max(best, 1 - edits / size)
         lead = len(line[first:end]) - len(line[first:end].lstrip())
