@@ -7,10 +7,10 @@ own, trained from labelled findings; its trees are then compiled to CASE express
 generated code and needs no shuffle.
 
 The built-in labelled findings follow from a rule: random keys of several alphabets beside telling words are secrets;
-words, numbers, hashes beside "commit", placeholders and repeated characters are not.
+words, names, paths, embedded data, numbers, hashes beside "commit", placeholders and repeated characters are not.
 
-Null and empty texts have no findings. A text's candidates are all judged, of any number; repeated candidates count
-at their first place and with n_places. Extra columns are ignored; repeated rows each give their findings.
+Null and empty texts have no findings. A text's candidates are all judged at each of their places, of any number; a
+repeated candidate gets its highest score, the first place that has it, and n_places. Extra columns are ignored; repeated rows each give their findings.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What can be a candidate: a run of key characters with a digit, of 16 to 200 characters. Longer runs are data.
-CANDIDATE = r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*[0-9])[A-Za-z0-9_\-+/]{16,200}={0,2}(?![A-Za-z0-9_\-+/=])"
+_KEY = r"[A-Za-z0-9_\-+/]"
+#: What can be a candidate: a run of key characters, of any length from 16, or from 8 with a digit; after a prefix
+#: that is followed by dots, its dotted parts too.
+CANDIDATE = (
+    rf"(?<!{_KEY})(?:(?:SG|eyJ{_KEY}++)(?:\.{_KEY}++)++|{_KEY}{{16,}}+|(?=[A-Za-z_\-+/]*+[0-9]){_KEY}{{8,}}+)={{0,2}}(?![A-Za-z0-9_\-+/=])"
+)
 #: Characters before and after a candidate that its features look at.
 CONTEXT = 48
 TREES = 24
@@ -39,21 +43,46 @@ FEATURES = [
 ]
 
 
+_CHUNK = 256
+#: Pieces of a text that CONTEXT can reach over: a candidate has 8 characters or more, and what parts two has one.
+_REACH = 2 * (CONTEXT // 9 + 1) + 1
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(id, path, candidate, before, after, n_places), one row for each distinct candidate of a row's text."""
+    """(row, id, path, candidate, before, after, place), one row for each place of a candidate in a row's text.
+
+    A text becomes its pieces: what stands before the first candidate, the candidate, what stands between, and so on.
+    Contexts are read from neighbouring pieces, places from sums over chunks of pieces.
+    """
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    picked = docs.select(F.col(doc_id).alias("id"), where.alias("path"), F.col(text).alias("text"))
-    found = picked.withColumn("all", F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)"))
-    found = found.filter(F.size("all") > 0)
-    one = found.select("id", "path", "text", "all", F.explode(F.array_distinct("all")).alias("candidate"))
-    at = F.instr(F.col("text"), F.col("candidate"))
-    return one.select(
-        "id", "path", "candidate",
-        F.expr(f"substring(text, greatest(1, instr(text, candidate) - {CONTEXT}), least({CONTEXT}, instr(text, candidate) - 1))").alias("before"),
-        F.expr(f"substring(text, instr(text, candidate) + length(candidate), {CONTEXT})").alias("after"),
-        at.cast("long").alias("place"),
-        F.size(F.filter("all", lambda x: x == F.col("candidate"))).cast("long").alias("n_places"),
+    picked = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), where.alias("path"), F.col(text).alias("text")
+    )
+    # Each step is bound by a generator, else the optimizer copies it into the functions that run for each candidate.
+    bound = lambda df, keep, **made: df.select(*keep, F.inline(F.array(F.struct(*(F.expr(x).alias(n) for n, x in made.items())))))  # noqa: E731, E501
+    keep = ["row", "id", "path"]
+    split = bound(picked, keep, a=f"regexp_extract_all(text, r'{CANDIDATE}', 0)", g=f"split(text, r'{CANDIDATE}', -1)")
+    split = split.filter(F.size("a") > 0)
+    pieces = bound(split, [*keep, "a"], p="transform(sequence(0, 2 * size(a)), i -> if(i % 2 = 0, g[i div 2], a[i div 2]))")
+    ends = bound(
+        pieces, [*keep, "a"], n="transform(p, x -> cast(length(x) as long))",
+        heads=f"transform(p, x -> left(x, {CONTEXT}))", tails=f"transform(p, x -> right(x, {CONTEXT}))",
+    )
+    summed = bound(
+        ends, [*keep, "a", "n", "heads", "tails"],
+        sums=f"aggregate(sequence(0, size(n) div {_CHUNK}), array(0L), (s, k) -> concat(s, array("
+        f"element_at(s, -1) + aggregate(slice(n, k * {_CHUNK} + 1, {_CHUNK}), 0L, (t, x) -> t + x))))",
     )
+    at = "(2 * i + 1)"  # pieces before candidate i
+    done = f"({at} div {_CHUNK})"
+    first = f"greatest({at} - {_REACH}, 0)"
+    each = F.expr(
+        "transform(a, (x, i) -> struct(x as candidate, "
+        f"right(array_join(slice(tails, cast({first} + 1 as int), cast({at} - {first} as int)), ''), {CONTEXT}) as before, "
+        f"left(array_join(slice(heads, {at} + 2, {_REACH}), ''), {CONTEXT}) as after, "
+        f"1 + sums[cast({done} as int)] + aggregate(slice(n, cast({done} * {_CHUNK} + 1 as int), cast({at} - {done} * {_CHUNK} as int)), 0L, (t, y) -> t + y) as place))"
+    )
+    return summed.select(*keep, F.inline(each))
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -72,11 +101,11 @@ def described(found: DataFrame) -> DataFrame:
     near = F.lower(F.concat_ws(" ", "before", "after"))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     values = {
-        "length": F.least(size, F.lit(200.0)),
+        "length": size,
         "digits": count("0-9"),
         "uppers": count("A-Z"),
         "lowers": count("a-z"),
-        "others": count("_\\-+/="),
+        "others": count("_\\-+/=."),
         "changes": (runs - 1) / size,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(size, F.lit(40.0)),
         "hex_only": flag(c.rlike("^[0-9a-f]+$")),
@@ -100,8 +129,12 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     word = F.concat_ws("_", pick(FRAGMENTS, 1), pick(FRAGMENTS, 2), pick(FRAGMENTS, 3), pick(FRAGMENTS, 4), pick(FRAGMENTS, 5))
     slug = F.concat(word, F.lit("-"), F.pmod(F.col("id"), F.lit(997)).cast("string"))
     plain = F.concat(pick(["see the page about ", "of the and in ", "then there was ", "order "], 6))
-    kind = F.pmod("id", F.lit(12)).cast("int")
-    secret = F.pmod("id", F.lit(12)) < 6
+    kind = F.pmod("id", F.lit(20)).cast("int")
+    secret = F.pmod("id", F.lit(20)) < 10
+    parts = F.concat(*(F.rtrim(F.base64(F.unhex(digest(f"l{k}"))), F.lit("=")) for k in range(20)))
+    size = lambda least, n: (F.lit(least) + F.pmod(F.xxhash64("id", F.lit(14)), F.lit(n))).cast("int")
+    letters = F.translate(mixed, "0123456789", "qWeRtYuIoP")
+    long = F.substr(parts, F.lit(1), size(120, 680))
     told = pick(TELLING, 7)
     dull = pick(HARMLESS, 8)
     rows_of = spark.range(rows)
@@ -114,23 +147,33 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
             F.substring(digest("p"), 1, 18),
             F.substring(mixed, 1, 24),
             F.substring(mixed, 1, 40),
+            long,
+            F.substr(letters, F.lit(1), size(16, 26)),
+            F.substr(mixed, F.lit(1), size(8, 8)),
+            F.concat(F.lit("SG."), F.substring(mixed, 1, 22), F.lit("."), F.substring(parts, 1, 43)),
             F.substring(digest("c"), 1, 40),
             slug,
             F.concat(F.lit("000"), F.format_string("%017d", F.col("id") * 7919)),
             F.repeat(F.concat(F.lit("x1"), F.lit("0")), 8),
             F.concat(F.lit("YOUR_KEY_HERE_"), F.pmod(F.col("id"), F.lit(100)).cast("string")),
             F.concat_ws("-", F.substring(digest("u"), 1, 8), F.substring(digest("u"), 9, 4), F.substring(digest("u"), 13, 4), F.substring(digest("u"), 17, 12)),
+            F.concat_ws("_", told, dull, pick(FRAGMENTS, 15), pick(FRAGMENTS, 16)),
+            F.concat(pick(FRAGMENTS, 1), pick(FRAGMENTS, 2), pick(FRAGMENTS, 3), F.pmod(F.col("id"), F.lit(997)).cast("string")),
+            long,
+            F.concat_ws("/", word, pick(FRAGMENTS, 15), pick(FRAGMENTS, 16)),
         ).alias("candidate"),
-        F.when(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(3)) == 0, F.concat(plain, F.lit(" ")))
+        F.when(kind == 18, F.concat(plain, F.lit("data:image/png;base64,")))
+        .when(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(3)) == 0, F.concat(plain, F.lit(" ")))
         .when(secret, F.concat(plain, told, pick(["=", ": ", " = \"", " = '"], 11)))
         .otherwise(F.concat(plain, dull, F.lit(" "))).alias("raw_before"),
         pick([" the end of it", "\" , and more", " of that", ""], 12).alias("after"),
         pick(["web", "code", "src3", "book"], 13).alias("path"),
-        # A bare hash of 40 digits is a commit unless something tells; keys with a prefix or mixed letters are keys.
+        # A bare hash of 40 digits is a commit unless something tells; keys with a prefix or mixed letters are keys. Very
+        # long, short and all-letter runs are keys only where something tells.
         secret.alias("is_secret"), kind.alias("kind"),
     ).select(
         "candidate", "after", "path",
-        F.when(F.col("kind").isin(2, 3) & ~F.lower("raw_before").rlike("|".join(TELLING)), F.concat("raw_before", F.lit("token = \"")))
+        F.when(F.col("kind").isin(2, 3, 6, 7, 8) & ~F.lower("raw_before").rlike("|".join(TELLING)), F.concat("raw_before", F.lit("token = \"")))
         .otherwise(F.col("raw_before")).alias("before"),
         F.col("is_secret").cast("double").alias("label"),
     )
@@ -165,7 +208,12 @@ def scan(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per finding: doc_id, candidate, place (from 1), n_places, score, is_secret."""
-    judged = described(candidates(docs, doc_id, text, path)).withColumn("score", compiled(model))
-    return judged.select(
-        F.col("id").alias(doc_id), "candidate", "place", "n_places", "score", (F.col("score") >= threshold).alias("is_secret")
-    )
+    judged = described(candidates(docs, doc_id, text, path)).select("row", "id", "candidate", "place", compiled(model).alias("score"))
+    best = judged.groupBy("row", "id", "candidate").agg(
+        F.max(F.struct("score", (-F.col("place")).alias("place"))).alias("best"), F.count("*").alias("n_places")
+    )
+    score = F.col("best.score")
+    return best.select(
+        F.col("id").alias(doc_id), "candidate", (-F.col("best.place")).alias("place"), "n_places", score.alias("score"),
+        (score >= threshold).alias("is_secret"),
+    )

@@ -332,6 +332,27 @@ def test_secrets(spark, make, texts):
     assert secrets.scan(make([]), model).count() == 0
 
 
+def test_secrets_of_all_lengths_and_places(spark, make):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, letters=alphabet: "".join(rng.choice(letters) for _ in range(n))
+    digest = hashlib.sha1(b"x").hexdigest()
+    keys = {700: key(460), 701: key(32, alphabet[:52]), 702: "hT4k9Zq2Lm", 703: f"SG.{key(22)}.{key(43)}", 704: digest}
+    some = [(k, f'see the page about token = "{x}" , and more') for k, x in keys.items() if k != 704]
+    some.append((704, f"é x{digest} commit {digest} of the and in then there was nothing else to be said here token = \"{digest}\" , and more"))
+    some.append((705, "key_1234567 a " * 700))
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = secrets.scan(make(some), model).collect()
+    found = {(r["doc_id"], r["candidate"]): r for r in rows}
+    for k, x in keys.items():
+        assert found[(k, x)]["is_secret"], (k, x)
+    assert found[(704, digest)]["n_places"] == 2 and found[(704, digest)]["place"] == dict(some)[704].rindex(digest) + 1
+    assert found[(705, "key_1234567")]["n_places"] == 700
+    places = {(r["id"], r["place"]): r for r in secrets.candidates(make(some)).collect()}
+    expected = {(k, m.start() + 1): (m.group(), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for k, t in some for m in re.finditer(secrets.CANDIDATE, t)}
+    assert {k: (r["candidate"], r["before"], r["after"]) for k, r in places.items()} == expected
+
+
 def test_decontamination(spark, make, texts):
     items = [("a", texts[8][1]), ("b", "one"), ("c", ""), ("d", None), ("e", " ".join(words(texts[20][1])[4:17])), ("f", texts[8][1]), (None, "two words")]
     bench = spark.createDataFrame(items, "item_id string, text string")
