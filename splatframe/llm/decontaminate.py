@@ -298,34 +298,49 @@ def remove(
 ) -> DataFrame:
     """docs with their columns: hit spans are cut out of texts; documents hit over more than max_coverage go.
 
-    n_chars, where docs has it, follows the new text. Works in one pass over docs, without a shuffle.
+    n_chars, where docs has it, follows the new text. Works in one pass over docs, without a shuffle: every shard looks
+    at the original text and adds its spans to a column; the last one cuts.
     """
     spark, schema = docs.sparkSession, docs.schema
-    for shard in _shards(benchmark, item_id, item_text, window, shard_words):
-        automaton = spark.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+    column = "spans"
+    while column in schema.names:
+        column += "_"
+    carried = T.StructType([*schema.fields, T.StructField(column, _SPANS)])
+    shards = _shards(benchmark, item_id, item_text, window, shard_words)
+    for k, shard in enumerate(shards):
+        automaton, first, last = spark.sparkContext.broadcast(shard), k == 0, k == len(shards) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], automaton=automaton, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, text):
-                    yield _remove_batch(automaton.value, batch, text, max_coverage)
-
-        docs = docs.mapInArrow(run, schema)
+                    spans: dict[int, list[tuple[int, int]]] = {}
+                    if not first:
+                        spans = {d: [(s["first"], s["last"]) for s in x] for d, x in enumerate(batch[column].to_pylist()) if x}
+                        batch = batch.drop_columns([column])
+                    docs = [words_of(x) for x in texts_of(batch, text)]
+                    for d, place, ids in automaton.value.candidates(docs):
+                        for at, width, _ in automaton.value.scan(ids):
+                            spans.setdefault(d, []).append((place + at - width + 1, place + at))
+                    merged = {d: _merged(x) for d, x in spans.items()}
+                    if last:
+                        yield _remove_batch(merged, [len(x) for x in docs], batch, text, max_coverage)
+                    else:
+                        packed = [[{"first": a, "last": b} for a, b in merged.get(d, ())] for d in range(len(docs))]
+                        yield batch.append_column(column, pa.array(packed, type=_span_type()))
+
+        docs = docs.mapInArrow(run, schema if last else carried)
     return docs
 
 
-def _remove_batch(sam: SuffixAutomaton, batch: pa.RecordBatch, text: str, max_coverage: float) -> pa.RecordBatch:
-    raw = texts_of(batch, text)
-    docs = [words_of(x) for x in raw]
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for d, first, ids in sam.candidates(docs):
-        for at, width, _ in sam.scan(ids):
-            spans.setdefault(d, []).append((first + at - width + 1, first + at))
+def _remove_batch(
+    spans: dict[int, list[list[int]]], n_words: list[int], batch: pa.RecordBatch, text: str, max_coverage: float
+) -> pa.RecordBatch:
     if not spans:
         return batch
-    keep, texts = np.ones(len(docs), dtype=bool), batch[text].to_pylist()
-    for d, found in spans.items():
-        merged = _merged(found)
-        if sum(b - a + 1 for a, b in merged) > max_coverage * len(docs[d]):
+    raw = texts_of(batch, text)
+    keep, texts = np.ones(len(raw), dtype=bool), batch[text].to_pylist()
+    for d, merged in spans.items():
+        if sum(b - a + 1 for a, b in merged) > max_coverage * n_words[d]:
             keep[d] = False
         else:
             texts[d] = cut(raw[d], merged).decode()

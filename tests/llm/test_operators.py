@@ -381,6 +381,25 @@ def test_decontamination(spark, make, texts):
     assert decontaminate.scan(make(texts), bench.limit(0)).filter("size(items) > 0").count() == 0
 
 
+def test_removal_is_the_same_by_shards(spark, make):
+    rng = random.Random(9)
+    item = [sentence(rng, 15) for _ in range(3)]
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(item)], "item_id string, text string").coalesce(1)
+    a, b = item[0].split(), item[1].split()
+    bench = bench.union(spark.createDataFrame([("3", " ".join(a[-6:] + b[:6]))], "item_id string, text string")).coalesce(1)
+    some = [
+        (1, f"{sentence(rng, 10)} {item[0]} {sentence(rng, 10)} {item[1]}"),  # 30 of 50 words, by two shards
+        (2, f"{sentence(rng, 30)} {' '.join(a + b[:6])} {sentence(rng, 30)}"),  # spans of two shards overlap
+        (3, f"{sentence(rng, 30)} {' '.join(b[:7])} {item[0]} {' '.join(b[7:])} {sentence(rng, 30)}"),  # neighbours only after a cut
+        (4, sentence(rng, 40)), (5, None), (6, ""),
+    ]
+    got = [sorted(map(tuple, decontaminate.remove(make(some), bench, shard_words=n).collect())) for n in (decontaminate.SHARD_WORDS, 15)]
+    assert len(decontaminate._shards(bench, "item_id", "text", decontaminate.WINDOW, 15)) == 4
+    texts = {r[0]: r[1] for r in got[0]}
+    assert set(texts) == {2, 3, 4, 5, 6} and len(words(texts[2])) == 60 and len(words(texts[3])) == 75
+    assert got[0] == got[1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
