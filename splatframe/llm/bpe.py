@@ -6,15 +6,18 @@ what falls out is encoded anew, so results don't depend on it. Chunks end anywhe
 those of the whole text. Each join is repaired: a window around it is encoded again and grows until its first and last
 words get the same ids as in the chunks beside it, and the chunks' ids beyond those words stay.
 
-Why agreement there is enough: the splitting pattern puts a boundary before a space that stands alone between two other
-characters, whatever stands around; ids never reach across it. Windows begin and end at such places.
+Why agreement there is enough: the splitting pattern has a boundary at some places whatever stands around (before a
+space or line break that stands alone between two other characters, between ASCII letters and digits, between an
+ideograph and a full stop); ids never reach across it. Windows begin and end at such places. Chunks without any are
+passed over and encoded in one window with their neighbours, once, so a text without such places takes no longer than
+its encoding as a whole.
 
 Chunks of plain Latin text are encoded by tiktoken, over the same vocabulary file's ranks; others, and those with the
 special token, by the tokenizers library, as the two may know different Unicode versions. Decoding joins the bytes of
 the ids and reads them as UTF-8, as the byte-level decoder does.
 
-Null texts are encoded as empty ones: no ids. Texts are taken whole. Repeated rows each get their result. Extra
-columns are ignored. There is no shuffle; a lost executor's tasks run again on others.
+Null texts are encoded as empty ones: no ids. Texts are taken whole, of any length and script. Repeated rows and ties
+each get their result; an empty table gives no rows. Extra columns, of any name, are ignored. There is no shuffle; a lost executor's tasks run again on others.
 """
 
 from __future__ import annotations
@@ -42,8 +45,24 @@ _HASHED = 16
 CACHE_BYTES = 24 << 20
 _KEPT_COST = 256  # an entry's own bytes beside its content
 
-#: Before a space that stands alone between two characters of which neither is white space.
-_CALM = re.compile(rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xc9][\x80-\xbf]))(?= [\x21-\x7e\xc3-\xc9])")
+#: Last and first bytes of characters that aren't white space. Lead bytes shared with white space beyond ASCII
+#: (U+0085, U+00A0, U+1680, U+180E, U+2000 to U+206F, U+3000) are left out.
+_BEFORE = (
+    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xef][\x80-\xbf]{2})|(?<=\xe2[\x82-\xbf][\x80-\xbf])"
+    rb"|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xf0-\xf4][\x80-\xbf]{3}))"
+)
+_AFTER = rb"(?:[\x21-\x7e\xc3-\xdf\xe0\xe4-\xef\xf0-\xf4]|\xe2[\x82-\xbf]|\xe3[\x81-\xbf])"
+#: Ideographs and kana, which are letters in all versions of Unicode, and the full stop and commas beside them.
+_LETTER = rb"(?:(?<=\xe3[\x81-\x82][\x81-\x96])|(?<=\xe3\x83[\x80-\xba])|(?<=[\xe5-\xe8][\x80-\xbf]{2}))"
+_MARK = rb"(?:\xe3\x80[\x81\x82]|\xef\xbc\x8c)"
+#: Places that end a piece of the splitting pattern, whatever stands around: before white space that stands alone
+#: between two other characters; between ASCII letters and digits; between an ideograph and a full stop or comma.
+_CALM = re.compile(
+    _BEFORE + rb"(?=[ \n]" + _AFTER + rb")|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|" + _LETTER + rb"(?=" + _MARK + rb")"
+)
+#: Pieces of the pattern beyond this size take the library, whose time doesn't grow with their square.
+_LONG_PIECE = 1 << 14
+_LONG = re.compile(rb"[^ \n]{%d}|\s{%d}" % (_LONG_PIECE, _LONG_PIECE))
 #: Up to U+024F the Unicode classes of letters and digits don't differ between versions.
 _FOREIGN = re.compile("[^\x00-\u024f]")
 
@@ -82,7 +101,8 @@ class Codec:
 
     def encode(self, text: bytes) -> list[int]:
         found = text.decode()
-        if any(s in text for s in self.special) or not text.isascii() and _FOREIGN.search(found):
+        long = len(text) > _LONG_PIECE and _LONG.search(text)
+        if long or any(s in text for s in self.special) or not text.isascii() and _FOREIGN.search(found):
             return self.exact.encode(found, add_special_tokens=False).ids
         return self.fast.encode_ordinary(found)
 
@@ -149,20 +169,29 @@ class ChunkEncoder:
             parts.append(text[first:end])
             first = end
         coded = [self.chunk(p) for p in parts]
-        out, at = list(coded[0]), ends[0]  # out holds the ids of text[:at] but for what the next join mends
-        for k in range(1, len(parts)):
-            out = self._join(text, out, at, coded[k], ends[k])
-            at = ends[k]
+        out, at, k = list(coded[0]), ends[0], 1  # out holds the ids of text[:at] but for what the next join mends
+        while k < len(parts):
+            # A chunk without two calm places can't end a window: the join reaches into the next one that has them.
+            m = k
+            while m < len(parts) - 1 and not self._calm(parts[m]):
+                m += 1
+            out = self._join(text, out, at, ends[m - 1], coded[m], ends[m])
+            at, k = ends[m], m + 1
         return out
 
-    def _join(self, text: bytes, left: list[int], at: int, right: list[int], end: int) -> list[int]:
-        """Ids of text[:end], from those of text[:at] and of the chunk text[at:end]."""
+    @staticmethod
+    def _calm(part: bytes) -> bool:
+        found = _CALM.finditer(part)
+        return next(found, None) is not None and next(found, None) is not None
+
+    def _join(self, text: bytes, left: list[int], at: int, first: int, right: list[int], end: int) -> list[int]:
+        """Ids of text[:end], from those of text[:at] and of the chunk text[first:end]; what lies between is new."""
         size = self.codec.bytes
         reach = 32
         while True:
-            low, high = max(0, at - reach), min(end, at + reach)
+            low, high = max(0, at - reach), min(end, first + reach)
             starts = [m.start() + low for m in _CALM.finditer(text[low:at])]
-            stops = [m.start() + at for m in _CALM.finditer(text[at:high])]
+            stops = [m.start() + first for m in _CALM.finditer(text[first:high])]
             # The outermost word on each side is the one that must agree.
             begin, agree = (starts[0], starts[1]) if len(starts) > 1 else (0, 0) if low == 0 else (None, None)
             until, resume = (stops[-1], stops[-2]) if len(stops) > 1 else (end, end) if high == end else (None, None)
@@ -175,7 +204,7 @@ class ChunkEncoder:
             while n > begin:
                 keep -= 1
                 n -= len(size[left[keep]])
-            rest, m = 0, at
+            rest, m = 0, first
             while m < until:
                 m += len(size[right[rest]])
                 rest += 1
