@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset and Spark local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="splatframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +52,14 @@ def saved(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_name(taken: list[str], name: str) -> str:
+    """name, with underscores behind it until it differs from all of taken in more than case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def delete_saved(spark: SparkSession, path: str) -> None:
     """Deletes a folder of saved() by the file system that holds it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

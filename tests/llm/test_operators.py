@@ -137,6 +137,51 @@ def test_each_quality_rule_can_reject(make):
     assert all(r["kept"] for r in quality.judge(make(alike)).collect())
 
 
+def brute_kept(rows, least_spread, floor, fence, weight):
+    """kept by the docstring's rule, from rows (lang, source, base_failed, {measure: value})."""
+    def bucket(v):
+        step = 2 ** max(0, v.bit_length() - 7)
+        return v // step * step, step
+
+    def fences(some, m):
+        held = sorted(bucket(v[m])[0] for *_, failed, v in some if not failed)
+        if not held:
+            return 0, 0.0, 0.0
+        q25, q75, q95 = (held[-(-len(held) * q // 100) - 1] for q in (25, 75, 95))
+        if m in floor:
+            return len(held), 0.0, float(max(q95 + bucket(q95)[1] - 1 + q95 - q75, floor[m]))
+        spread = max(q75 - q25, least_spread[m])
+        return len(held), float(q25 - fence * spread), float(q75 + fence * spread)
+
+    out = []
+    for lang, source, failed, v in rows:
+        kept = not failed
+        for m in v:
+            low = high = None
+            for some in ([r for r in rows], [r for r in rows if r[0] == lang], [r for r in rows if r[:2] == (lang, source)]):
+                n, a, b = fences(some, m)
+                w = weight if low is not None else 0
+                low, high = ((n * x + w * (y or 0)) / max(n + w, 1) for x, y in ((a, low), (b, high)))
+            kept = kept and low - 1e-6 <= v[m] <= high + 1e-6
+        out.append(kept)
+    return out
+
+
+def test_quality_fences_are_blended_by_weight(spark):
+    rng = random.Random(12)
+    some = []
+    for k in range(700):
+        lang, source = rng.choice(["en", "en", "de", None]), rng.choice(["web", "web", "web", "book", None])
+        odd = rng.random() < 0.1
+        text = "\n".join(" ".join(sentence(rng, 1) + ("y" * 20 if odd and k % 2 else "") + ("#$%" if odd and k % 3 == 0 else "") for _ in range(6)) for _ in range(rng.randrange(2, 9)))
+        some.append((k, text, lang, source, 0, 0))
+    some += [(900 + k, sentence(rng, 30), f"l{k}", "one", 0, 0) for k in range(3)] + [(950, "few words", "empty", "group", 0, 0)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, kept int, n_words int")
+    rows = quality.judge(docs).collect()
+    expected = brute_kept([(r["lang"], r["source"], r["base_failed"], {m: r[m] for m in quality.MEASURES}) for r in rows], quality.LEAST_SPREAD, quality.FLOOR, quality.FENCE, quality.PRIOR_ROWS)
+    assert [r["kept"] for r in rows] == expected and 20 < sum(not r["kept"] and not r["base_failed"] for r in rows) < 200
+
+
 def test_bpe_is_the_librarys(make, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -144,7 +189,12 @@ def test_bpe_is_the_librarys(make, texts):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own.no_truncation()
     own.no_padding()
-    extra = [(400, "日本語テキスト😀 a\u00a0b\r\n\t x  y   "), (401, "'s 've don't 12345 <|endoftext|> z" * 300), (402, "a" * 9000), (403, " " * 5000 + "b")]
+    rng = random.Random(2)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    long = [(410, drawn("абвгдежзик  ", 500_000)), (411, drawn("日本語漢字東京大学の、。", 330_000)), (412, drawn("日本語漢字東京大学の", 330_000)), (413, "a" * 1_000_000)]
+    long += [(414, "x1" * 200_000), (415, " " * 300_000 + "b")]
+    long += [(420 + k, drawn([*"ab1 2\n 'sé  ñ日。本、a　  Жж.!x9\t\r😀", "<|endoftext|>"], 2500)) for k in range(60)]
+    extra = [*long, (400, "日本語テキスト😀 a\u00a0b\r\n\t x  y   "), (401, "'s 've don't 12345 <|endoftext|> z" * 300), (402, "a" * 9000), (403, " " * 5000 + "b")]
     for r in bpe.encode(make([*texts, *extra]), ids=False).collect():
         text = dict([*texts, *extra])[r["doc_id"]] or ""
         ids = own.encode(text, add_special_tokens=False).ids
@@ -265,6 +315,57 @@ def test_sharding(spark, make, texts):
     assert out.count() == table(spark, SF, "documents").count()
 
 
+def test_shards_of_other_columns_lose_none(spark):
+    store = sharding.ShardStore(spark, fresh_dir(spark, "test-shards"))
+    a = spark.createDataFrame([(k, "a") for k in range(8)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, "b", k * 2, None) for k in range(8)], "doc_id long, text string, extra long, Void string")
+    for _ in range(2):
+        store.append(a, 1)
+        store.append(b, 1)
+    store.append(a.limit(0))
+    store.compact()
+    store.vacuum()
+    both = a.union(a).unionByName(b.union(b), allowMissingColumns=True)
+    assert store.read().columns == both.columns
+    assert store.read().exceptAll(both).isEmpty() and both.exceptAll(store.read()).isEmpty()
+
+
+def test_racing_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = fresh_dir(spark, "test-shards")
+    sharding.ShardStore(spark, root)
+
+    def write(k):
+        store = sharding.ShardStore(spark, root)
+        for j in range(3):
+            store.append(spark.range(10 * j + 100 * k, 10 * j + 100 * k + 10).repartition(2))
+            if k % 2:
+                try:
+                    store.compact()
+                except sharding.CommitConflict:
+                    pass
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    store = sharding.ShardStore(spark, root)
+    assert sorted(r[0] for r in store.read().collect()) == sorted(100 * k + 10 * j + x for k in range(6) for j in range(3) for x in range(10))
+    paths = [s.path for s in store.manifest()]
+    assert len(set(paths)) == len(paths)
+
+
+def test_merged_files_have_the_targets_size(spark):
+    store = sharding.ShardStore(spark, fresh_dir(spark, "test-shards"))
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    store.append(docs, 100)
+    before = store.manifest()
+    target = sum(s.bytes for s in before) // 5
+    store.compact(target)
+    sizes = sorted(s.bytes for s in store.manifest() if s not in before)
+    assert sizes[-1] <= 1.1 * target and sum(x < 0.4 * target for x in sizes) <= len(store.tiers(before, target))
+    assert store.read().count() == docs.count()
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
