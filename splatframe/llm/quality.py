@@ -5,8 +5,9 @@ an integer keeps its seven leading bits, so a bucket's width is at most 1/64 of
 adding counts. Counting is a plain aggregate with map-side combining: a hot source sends one row per bucket and task.
 Thresholds are fences around the middle half, `q25 - FENCE * spread` to `q75 + FENCE * spread`, so they adapt to
 each group and reject nothing in a group without outliers. Repeated lines and words are one-sided, and nil in most
-documents: their fence lies as far above q95 as q95 above q75, and at FLOOR at least. A group with under MIN_ROWS documents takes the merged
-sketch of its language, and below that of all documents. judge() joins the thresholds to the measures.
+documents: their fence lies as far above q95 as q95 above q75, and at FLOOR at least. A group's fences are blended with
+those of its language, by its number of documents against PRIOR_ROWS, and the language's with those of all documents in
+the same way: one rule for groups of all sizes. judge() joins the thresholds to the measures.
 
 Null and empty texts have no words and fail the base rules; null lang and source are groups of their own. Empty
 tables give no rows. Extra columns are ignored. Repeated rows each get their verdict.
@@ -28,8 +29,8 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Documents below which a group takes a coarser group's sketch.
-MIN_ROWS = 200
+#: Documents that the coarser group's fences count for beside a group's own.
+PRIOR_ROWS = 200
 #: How many spreads beyond the middle half a value may lie, and the least spread, by measure.
 FENCE = 8
 LEAST_SPREAD = {"word_milli": 150, "symbol_myriad": 60}
@@ -199,11 +200,12 @@ def thresholds(measures: DataFrame) -> DataFrame:
         fine.alias("f"), F.col("g.lang").eqNullSafe(F.col("f.lang")) & F.col("g.source").eqNullSafe(F.col("f.source")),
         "left",
     ).join(lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left").join(whole.alias("w"), F.lit(True), "left")
-    pick = lambda x: (
-        F.when(F.col("f.rows") >= MIN_ROWS, F.col(f"f.{x}"))
-        .when(F.col("l.rows") >= MIN_ROWS, F.col(f"l.{x}"))
-        .otherwise(F.col(f"w.{x}"))
-    )
+
+    def blended(x: str, own: str, coarse: Column) -> Column:
+        rows = F.coalesce(F.col(f"{own}.rows"), F.lit(0))
+        return (rows * F.coalesce(F.col(f"{own}.{x}"), F.lit(0)) + PRIOR_ROWS * coarse) / (rows + PRIOR_ROWS)
+
+    pick = lambda x: blended(x, "f", blended(x, "l", F.col(f"w.{x}").cast("double")))
     return g.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *(pick(x).alias(x) for x in fences))
 
 
