@@ -52,6 +52,26 @@ def saved(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of saved() that are deleted together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_dir(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete_saved(self.spark, path)
+
+
 def new_name(taken: list[str], name: str) -> str:
     """name, with underscores behind it until it differs from all of taken in more than case."""
     used = {x.lower() for x in taken}

@@ -1,20 +1,26 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-The documents, in the order of their ids, are one sequence of lines that hold a word. Prefix doubling ranks each
-suffix by its first 1, 2, 4, ... lines. Only equality of prefixes is asked for, so a rank is the place of the first
-suffix with that prefix: the leader of the class. Classes are the intervals of suffixes whose longest common prefix
-is that long; a class of one is ranked for good and leaves. A round takes the ranks at i and i + 2^k, groups the pairs
-(map-side minima and counts, so a hot line sends a row per task) and joins the leaders back.
-
-A run of lines is a copy worth deleting from `min_words` words on. Each line that starts or ends such runs needs
-the shortest one alone: any longer repeated run is a union of those within it, as each of its lines lies in the
-shortest from the run's start or the shortest that ends at the line. A shortest run has at most min_words lines, so
-log2(min_words) rounds do for texts of any length. Its class is that of two overlapping blocks of 2^k lines; if the
-leader stands earlier, the run is a later copy, and its lines are deleted.
+The documents, in the order of their ids, are one sequence of lines that hold a word. A suffix begins at each line that
+stands twice or more. Doubling round k names the suffixes of equal first 2^(k+1) lines: pairs of names at i and at
+i + 2^k are sorted by range partitioning, and their numbers in that order are the next names, so names keep the order
+of the suffixes. A suffix whose name is its own is ranked for good; rounds go on until all are, so runs of any length
+are found. A suffix's key is the list of its names; sorted keys are the suffix array.
+
+Neighbours in the array have as longest common prefix the lines that their common names stand for, plus what the keys
+behind those lines have in common, and so on. Prefixes of less than min_words words part the array into intervals. In
+each interval every suffix takes its longest prefix that also begins at an earlier line: going over the array both ways,
+a stack holds the earlier places and how much of them is still common. Partitions of the array are swept by themselves;
+their stacks, with one place for each length, are merged on the driver (their number is that of partitions) and handed
+on. The runs so found are maximal: they can't be prolonged and still have an earlier copy. Their lines are deleted.
 
 Lines are compared by their words (white space apart), by 128-bit hashes. Blank lines stay. Rows of one id and
-text are one document stored repeatedly and lose the same lines. Null and empty texts have no lines; null ids come
-first. Extra columns are kept by remove().
+text are one document stored repeatedly and lose the same lines. Ties: of equal runs the one of the least (id, hash of
+the text, line) stays. Null and empty texts have no lines; null ids come first; very long texts are documents with many
+lines, and only their own lines meet in a task. An empty table gives no rows. Extra columns of any name are ignored by
+judge() and kept by remove().
+
+A hot line is one row of an aggregate, and a skewed side of a plain join, which adaptive execution splits. Tables of
+the rounds lie in the shared folder and are deleted when the runs are found.
 """
 
 from __future__ import annotations
@@ -25,135 +31,322 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splatframe.llm.common import saved, slices, texts_of
+from splatframe.llm.common import Scratch, new_name, saved, slices, texts_of
 
 MIN_WORDS = 50
-
-
-def shortest_runs(words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(first line, lines) of the shortest runs of least words from each line on, and up to each line."""
-    total = np.concatenate(([0], np.cumsum(words)))
-    out = set()
-    for a in range(len(words)):
-        end = int(np.searchsorted(total, total[a] + least))  # total[end] - total[a] >= least
-        if end <= len(words):
-            out.add((a, end - a))
-        first = int(np.searchsorted(total, total[a + 1] - least, "right")) - 1
-        if first >= 0:
-            out.add((first, a + 1 - first))
-    return sorted(out)
-
-
-def needed_levels(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
-    """The highest level of rank that each line needs; -1 for none."""
-    need = np.full(n, -1)
-    for first, lines in runs:
-        k = lines.bit_length() - 1
-        need[first] = max(need[first], k)
-        need[first + lines - (1 << k)] = max(need[first + lines - (1 << k)], k)
-    for k in range(max(need, default=-1), 0, -1):  # level k at i is made of level k - 1 at i and i + 2^(k-1)
-        at = np.flatnonzero(need >= k) + (1 << (k - 1))
-        need[at] = np.maximum(need[at], k - 1)
-    return need
+_ALL = 1 << 62
 
 
 def _text_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def least_lines(words: np.ndarray, min_words: int) -> np.ndarray:
+    """For each line, how many lines from it on have min_words words; 0 where the text ends before."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    return np.where(ends <= len(words), ends - np.arange(len(words)), 0)
+
+
 def _lines_pass(min_words: int):
+    """Lines with a word, of texts that have min_words words or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for whole in batches:
             for batch in slices(whole):
-                out = {n: [] for n in ("row", "th", "pos", "name", "need", "runs")}
+                rows, hashes, places, names, least = [], [], [], [], []
                 for k, text in enumerate(texts_of(batch)):
                     split = [x for x in (line.split() for line in text.split(b"\n")) if x]
-                    runs = shortest_runs(np.array([len(x) for x in split], dtype=np.int64), min_words)
-                    if not runs:
+                    words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                    if words.sum() < min_words:
                         continue
-                    need = needed_levels(len(split), runs).tolist()
-                    lengths: dict[int, list[int]] = {}
-                    for first, lines in runs:
-                        lengths.setdefault(first, []).append(lines)
-                    th = _text_hash(text)
-                    for pos, line in enumerate(split):
-                        if need[pos] >= 0:
-                            out["row"].append(k)
-                            out["th"].append(th)
-                            out["pos"].append(pos)
-                            out["name"].append(xxhash.xxh3_128_digest(b" ".join(line)))
-                            out["need"].append(need[pos])
-                            out["runs"].append(lengths.get(pos, []))
+                    rows += [k] * len(split)
+                    hashes += [_text_hash(text)] * len(split)
+                    places += range(len(split))
+                    names += [digest(b" ".join(x)) for x in split]
+                    least += least_lines(words, min_words).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["id"].take(pa.array(out["row"], pa.int32())), pa.array(out["th"], pa.int64()),
-                        pa.array(out["pos"], pa.int32()), pa.array(out["name"], pa.binary()),
-                        pa.array(out["need"], pa.int32()), pa.array(out["runs"], pa.list_(pa.int32())),
+                        batch["id"].take(pa.array(rows, pa.int32())), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()),
+                        pa.array(names, pa.binary()), pa.array(least, pa.int64()),
                     ],
-                    ["id", "th", "pos", "name", "need", "runs"],
+                    ["id", "th", "pos", "name", "least"],
                 )
 
     return run
 
 
-def _led(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows whose key occurs at two places or more, with the first place as rank."""
-    classes = rows.groupBy(*key).agg(F.min("p").alias("rank"), (F.min("p") < F.max("p")).alias("again")).filter("again")
-    return rows.join(classes.drop("again"), key)
-
-
-def _ahead(steps: int) -> Column:
-    from pyspark.sql import Window
-
-    return F.min("rank").over(Window.partitionBy("id", "th").orderBy("pos").rangeBetween(steps, steps))
-
-
-def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first, lines): runs of lines, counted among lines with a word, of which an equal one stands earlier."""
+def _suffixes(docs: DataFrame, doc_id: str, text: str, min_words: int, scratch: Scratch) -> DataFrame:
+    """(id, th, d, pos, q, least, key): a row for each line that stands twice or more. d numbers texts, q places."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[doc_id].dataType),
             T.StructField("th", T.LongType()),
-            T.StructField("pos", T.IntegerType()),
+            T.StructField("pos", T.LongType()),
             T.StructField("name", T.BinaryType()),
-            T.StructField("need", T.IntegerType()),
-            T.StructField("runs", T.ArrayType(T.IntegerType())),
+            T.StructField("least", T.LongType()),
         ]
     )
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    lines = picked.mapInArrow(_lines_pass(min_words), schema).withColumn("p", F.struct("id", "th", "pos"))
-    # Level 0: lines that occur once are ranked for good.
-    level = saved(
-        _led(lines, ["name"]).dropDuplicates(["p"]).select("id", "th", "pos", "p", "need", "runs", "rank"),
-        "lines-level",
+    lines = scratch.saved(picked.mapInArrow(_lines_pass(min_words), schema), "lines-all")
+    place = F.xxhash64("id", "th", "pos")  # rows stored repeatedly have the same places
+    names = lines.select("name", place.alias("h")).groupBy("name").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    names = scratch.saved(
+        names.filter("a <> b").select("name", F.monotonically_increasing_id().alias("n")), "lines-names"
+    )
+    found = (
+        lines.join(names, "name").drop("name").repartitionByRange("id", "th").dropDuplicates(["id", "th", "pos"])
+        .sortWithinPartitions("id", "th", "pos").withColumn("q", F.monotonically_increasing_id())
+    )
+    first = F.min("q").over(Window.partitionBy("id", "th"))
+    return scratch.saved(
+        found.select("id", "th", first.alias("d"), "pos", "q", "least", F.array("n").alias("key")), "lines-suffixes"
     )
-    found, last = [], max(0, min_words.bit_length() - 1)
-    for k in range(last + 1):
-        size = 1 << k
-        wanted = F.array_distinct(F.filter("runs", lambda m: (m >= size) & (m < 2 * size)))
-        runs = level.select("p", "rank", F.explode(wanted).alias("lines"))
-        exact = runs.filter(F.col("lines") == size).select("p", "lines", "rank")
-        # Two blocks of 2^k lines that overlap make up the others.
-        other = level.withColumn("runs", wanted).filter(F.exists("runs", lambda m: m > size))
-        ends = other.select("p", "rank", F.explode(F.filter("runs", lambda m: m > size)).alias("lines")).withColumn(
-            "end", F.struct(F.col("p.id").alias("id"), F.col("p.th").alias("th"), (F.col("p.pos") + F.col("lines") - size).cast("int").alias("pos"))
-        )
-        tails = level.select(F.col("p").alias("end"), F.col("rank").alias("tail"))
-        pairs = ends.join(tails, "end").select("p", "lines", F.col("rank").alias("head"), "tail")
-        led = _led(pairs, ["lines", "head", "tail"]).select("p", "lines", "rank") if k else None
-        step = exact.unionByName(led) if led is not None else exact
-        found.append(saved(step.filter("rank < p").select("p.id", "p.th", F.col("p.pos").alias("first"), "lines"), "lines-runs"))
-        if k == last or level.filter(F.col("need") > k).isEmpty():
+
+
+def _doubled(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, pos, q, least, key) of all suffixes with their whole keys, each of which occurs once."""
+    state = suffixes.select("d", "pos", "q", "least", "key", F.lit(True).alias("open"), F.lit(-1).alias("round"))
+    done, k = [], 0
+    while not state.filter("open").isEmpty():
+        step = 1 << k
+        by_text = Window.partitionBy("d")
+        ahead = F.first("key").over(by_text.orderBy("pos").rangeBetween(step, step))
+        known = scratch.saved(
+            state.withColumn("ahead", ahead).withColumn("any", F.max("open").over(by_text)).filter("any").drop("any"),
+            "lines-ahead",
+        )
+        still = known.filter("open").withColumn("n", F.element_at("key", -1))
+        pairs = still.filter("ahead is not null").groupBy("n", "ahead").agg((F.count("*") > 1).alias("again"))
+        ordered = pairs.repartitionByRange("n", "ahead").sortWithinPartitions("n", "ahead")
+        names = scratch.saved(ordered.withColumn("next", F.monotonically_increasing_id()), "lines-names")
+        columns = ["d", "pos", "q", "least"]
+        longer = lambda x: F.concat("key", F.array(x)).alias("key")
+        named = still.join(names, ["n", "ahead"]).select(*columns, longer(F.col("next")), F.col("again").alias("open"), F.lit(k).alias("round"))
+        # Behind such a suffix the text ends or a line follows that stands once: before all others, by its own place.
+        ends = still.filter("ahead is null").select(*columns, longer(-F.col("q") - 1), F.lit(False).alias("open"), F.lit(k).alias("round"))
+        kept = known.filter("not open").select(*columns, "key", "open", "round")
+        state = scratch.saved(named.unionByName(ends).unionByName(kept), "lines-state")
+        done.append(state.filter((F.col("round") == k) & ~F.col("open")))
+        k += 1
+    return reduce(DataFrame.unionByName, done or [state]).select("d", "pos", "q", "least", "key")
+
+
+def _neighbours_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes: each with the one before it and the number of names that both keys begin with.
+
+    The first of a partition has none before it. Behind the last row follows a copy of it, marked by `tail`.
+    """
+    names = ["t", "q", "d", "pos", "least", "before_q", "before_d", "before_pos", "shared", "tail", "key"]
+    whole_key = pa.list_(pa.int64())
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch["key"].to_pylist()
+        shared = []
+        for a, b in zip([last[-1] if last else None, *keys], keys):
+            shared.append(sum(x == y for x, y in zip(a, b)) if a is not None else None)
+        columns = {n: batch[n] for n in ("t", "q", "d", "pos", "least")}
+        before = [
+            pa.concat_arrays([pa.array([last[j] if last else None], pa.int64()), columns[n][:-1]])
+            for j, n in enumerate(("q", "d", "pos"))
+        ]
+        firsts = [None if last else keys[0], *[None] * (len(keys) - 1)]
+        last = (*(columns[n][-1].as_py() for n in ("q", "d", "pos")), batch["t"][-1].as_py(), keys[-1])
+        marks = pa.array([False] * len(keys))
+        yield pa.RecordBatch.from_arrays(
+            [*columns.values(), *before, pa.array(shared, pa.int64()), marks, pa.array(firsts, whole_key)], names
+        )
+    if last:
+        q, d, pos, t, key = last
+        row = [t, q, d, pos, None, None, None, None, None]
+        arrays = [*(pa.array([x], pa.int64()) for x in row), pa.array([True]), pa.array([key], whole_key)]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+_PAIRS = "t long, q long, d long, pos long, least long, before_q long, before_d long, before_pos long, shared long"
+
+
+def _neighbours(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """_PAIRS: the suffix array as pairs of neighbours that have a name in common; t is the place in the array."""
+    ordered = keyed.repartitionByRange("key").sortWithinPartitions("key").withColumn("t", F.monotonically_increasing_id())
+    found = scratch.saved(ordered.mapInArrow(_neighbours_pass, f"{_PAIRS}, tail boolean, key array<long>"), "lines-array")
+    # Two rows of each partition of the array: where one ends and the next begins.
+    edges = found.filter("key is not null").orderBy("t", "tail").collect()
+    mended, before = [], None
+    for row in edges:
+        if row["tail"]:
+            before = row
+        elif before is not None:
+            same = sum(x == y for x, y in zip(before["key"], row["key"]))
+            mended.append((row["t"], row["q"], row["d"], row["pos"], row["least"], before["q"], before["d"], before["pos"], same))
+    inner = found.filter("not tail and before_q is not null").drop("tail", "key")
+    pairs = inner.unionByName(keyed.sparkSession.createDataFrame(mended, _PAIRS))
+    # The common prefix has less than 2^shared lines; it must have least lines to hold min_words words.
+    return pairs.filter("shared > 0 and least > 0 and least < shiftleft(1L, cast(shared as int))")
+
+
+def _common_prefixes(pairs: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """_PAIRS with lines: the longest common prefix, of those where it has least lines or more."""
+    power = lambda x: F.expr(f"shiftleft(1L, cast({x} - 1 as int))")
+    open_ = scratch.saved(pairs.withColumn("lines", power("shared")), "lines-pairs")
+    done = []
+    places = keyed.select("d", "pos", "key")
+    one, other = places.toDF("d", "at", "key_a"), places.toDF("before_d", "before_at", "key_b")
+    while True:
+        done.append(open_.filter("shared = 1"))
+        rest = open_.filter("shared > 1")
+        if rest.isEmpty():
             break
-        ahead = level.withColumn("next", _ahead(size)).filter((F.col("need") > k) & F.col("next").isNotNull())
-        paired = ahead.withColumnRenamed("rank", "head")
-        fresh = _led(paired, ["head", "next"]).select("id", "th", "pos", "p", "need", "runs", "rank")
-        level = saved(fresh, "lines-level")
-    return reduce(DataFrame.unionByName, found)
+        rest = rest.withColumns({"at": F.col("pos") + F.col("lines"), "before_at": F.col("before_pos") + F.col("lines")})
+        met = rest.join(one, ["d", "at"], "left").join(other, ["before_d", "before_at"], "left")
+        # Equal names at one place of the keys mean equal ones at all places before.
+        same = F.expr("size(filter(arrays_zip(key_a, key_b), x -> x.key_a = x.key_b))")
+        more = met.withColumn("shared", F.when(F.col("key_a").isNotNull() & F.col("key_b").isNotNull(), same).otherwise(0).cast("long"))
+        grown = more.withColumn("lines", F.col("lines") + F.when(F.col("shared") > 0, power("shared")).otherwise(0))
+        # What is found no longer grows beyond twice its last step.
+        bound = F.col("lines") + F.when(F.col("shared") > 1, power("shared")).otherwise(0)
+        grown = grown.withColumn("shared", F.greatest("shared", F.lit(1))).filter(bound >= F.col("least"))
+        open_ = scratch.saved(grown.select(*pairs.columns, "lines"), "lines-pairs")
+    return scratch.saved(reduce(DataFrame.unionByName, done).filter("lines >= least"), "lines-prefixes")
+
+
+def sweep(start: np.ndarray, end: np.ndarray, lines: np.ndarray, stack: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Goes over neighbours from start to end. Returns for each end the lines that it has in common with an earlier
+    place that was passed, and the stack (common lines, place), both rising, whose top is the last end."""
+    found = np.zeros(len(start), dtype=np.int64)
+    for k, (a, b, n) in enumerate(zip(start.tolist(), end.tolist(), lines.tolist())):
+        if not stack or stack[-1][1] != a:  # another interval begins
+            stack = [(_ALL, a)]
+        least = None
+        while stack and stack[-1][0] >= n:  # no more than n lines are common from here on: the earliest place does
+            least = stack.pop()[1]
+        if least is not None:
+            stack.append((n, least))
+        while stack and stack[-1][1] > b:
+            stack.pop()
+        if stack:
+            found[k] = stack[-1][0]
+        stack.append((_ALL, b))
+    return found, stack
+
+
+def carried(summaries: list[dict]) -> dict[int, list[tuple[int, int]]]:
+    """The stack with which each partition, in the order of the sweep, begins."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    stack: list[tuple[int, int]] = []
+    for s in summaries:
+        out[s["part"]] = stack
+        own = [(n, q) for n, q in s["stack"]]
+        if s["whole"] and stack and stack[-1][1] == s["start"]:
+            older = []
+            for n, q in stack[:-1]:
+                n = min(n, s["least"])
+                if q < own[0][1] and not (older and older[-1][0] == n):
+                    older.append((n, q))
+            if older and older[-1][0] == own[0][0]:
+                own = own[1:]
+            own = older + own
+        stack = own
+    return out
+
+
+_EDGES = ("before_q", "q", "lines", "before_d", "before_pos", "d", "pos")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """The columns of each partition of the array, whose rows follow each other."""
+    part, held = None, []
+
+    def whole():
+        return {n: np.concatenate([x[n] for x in held]) for n in _EDGES}
+
+    for batch in batches:
+        columns = {n: batch[n].to_numpy(zero_copy_only=False) for n in ("part", *_EDGES)}
+        cuts = np.flatnonzero(np.diff(columns["part"], prepend=-1)) if batch.num_rows else []
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            if columns["part"][a] != part:
+                if held:
+                    yield part, whole()
+                part, held = int(columns["part"][a]), []
+            held.append({n: columns[n][a:b] for n in _EDGES})
+    if held:
+        yield part, whole()
+
+
+def _both_ways(x: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, lines, end's d and pos) forwards and backwards."""
+    return [
+        (x["before_q"], x["q"], x["lines"], x["d"], x["pos"]),
+        tuple(x[n][::-1] for n in ("q", "before_q", "lines", "before_d", "before_pos")),
+    ]
+
+
+def _summary_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, x in _by_part(batches):
+        for back, (start, end, lines, _, _) in enumerate(_both_ways(x)):
+            _, stack = sweep(start, end, lines, [])
+            row = {
+                "part": part, "back": bool(back), "start": int(start[0]), "least": int(lines.min()),
+                "whole": bool((start[1:] == end[:-1]).all()), "stack": [{"n": n, "q": q} for n, q in stack],
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY)
+
+
+_SUMMARY = pa.schema(
+    [
+        ("part", pa.int64()), ("back", pa.bool_()), ("start", pa.int64()), ("least", pa.int64()), ("whole", pa.bool_()),
+        ("stack", pa.list_(pa.struct([("n", pa.int64()), ("q", pa.int64())]))),
+    ]
+)
+
+
+def _earlier(edges: DataFrame) -> DataFrame:
+    """(d, first, lines): for each suffix the longest prefix that begins at an earlier place too."""
+    spark = edges.sparkSession
+    # A partition of the array is a range of t; its rows come together, in order.
+    dealt = (
+        edges.withColumn("part", F.shiftright("t", 33)).repartition("part").sortWithinPartitions("part", "t")
+        .select("part", *_EDGES)
+    )
+    kind = "part long, back boolean, start long, least long, whole boolean, stack array<struct<n: long, q: long>>"
+    summaries = [r.asDict(True) for r in dealt.mapInArrow(_summary_pass, kind).collect()]  # two rows a partition
+    for s in summaries:
+        s["stack"] = [(x["n"], x["q"]) for x in s["stack"]]
+    forward = carried(sorted((s for s in summaries if not s["back"]), key=lambda s: s["part"]))
+    backward = carried(sorted((s for s in summaries if s["back"]), key=lambda s: -s["part"]))
+    held = spark.sparkContext.broadcast((forward, backward))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _by_part(batches):
+            for stacks, (start, end, lines, d, pos) in zip(held.value, _both_ways(x)):
+                found, _ = sweep(start, end, lines, list(stacks[part]))
+                at = found > 0
+                yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (d, pos, found)], ["d", "first", "lines"])
+
+    return dealt.mapInArrow(run, "d long, first long, lines long")
+
+
+def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, first, lines): maximal runs of lines, counted among lines with a word, of which an equal one of
+    min_words words or more stands earlier. A line may stand in several."""
+    with Scratch(docs.sparkSession) as scratch:
+        suffixes = _suffixes(docs, doc_id, text, min_words, scratch)
+        keyed = _doubled(suffixes, scratch)
+        edges = _common_prefixes(_neighbours(keyed, scratch), keyed, scratch)
+        # Of both ways the longer prefix counts; of the runs that end at one line the longest holds the others.
+        found = _earlier(edges).groupBy("d", "first").agg(F.max("lines").alias("lines"))
+        longest = found.groupBy("d", (F.col("first") + F.col("lines")).alias("end")).agg(F.max("lines").alias("lines"))
+        texts = suffixes.filter("q = d").select("d", "id", "th")
+        return saved(
+            longest.join(texts, "d").select("id", "th", (F.col("end") - F.col("lines")).alias("first"), "lines"), "lines-runs"
+        )
 
 
 def _cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -171,11 +364,14 @@ def _cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"\n".join(out), at, len(gone)
 
 
-def _applied(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """docs with _runs: the later copies of each row's lines."""
+def _applied(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[DataFrame, str]:
+    """docs with a column of the later copies of each row's lines, and that column's name."""
     copies = later_copies(docs, doc_id, text, min_words)
-    per_doc = copies.groupBy("id", "th").agg(F.collect_list(F.struct("first", "lines")).alias("_runs"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_th", T.LongType())])
+    runs, th, key = new_name(docs.columns, "runs"), new_name(docs.columns, "th"), new_name(docs.columns, "key")
+    per_doc = copies.groupBy(F.col("id").alias(key), F.col("th").alias(new_name([*docs.columns, th], "copy_th"))).agg(
+        F.collect_list(F.struct("first", "lines")).alias(runs)
+    )
+    schema = T.StructType([*docs.schema.fields, T.StructField(th, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,8 +380,8 @@ def _applied(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([*batch.columns, hashes], schema.names)
 
     keyed = docs.mapInArrow(run, schema)
-    joined = keyed.join(per_doc, keyed[doc_id].eqNullSafe(per_doc["id"]) & (keyed["_th"] == per_doc["th"]), "left")
-    return joined.select(*(keyed[c] for c in docs.columns), "_runs")
+    same = keyed[doc_id].eqNullSafe(per_doc[key]) & (keyed[th] == per_doc[per_doc.columns[1]])
+    return keyed.join(per_doc, same, "left").select(*docs.columns, runs), runs
 
 
 def _pairs(runs: list[dict] | None) -> list[tuple[int, int]]:
@@ -206,7 +402,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                done = [_cut(t, _pairs(r)) for t, r in zip(texts_of(batch), batch["_runs"].to_pylist())]
+                done = [_cut(t, _pairs(r)) for t, r in zip(texts_of(batch), batch["runs"].to_pylist())]
                 known = batch["text"].is_valid().to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -217,7 +413,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 )
 
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return _applied(picked, "id", "text", min_words).mapInArrow(run, schema)
+    return _applied(picked, "id", "text", min_words)[0].mapInArrow(run, schema)
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -226,11 +422,12 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     Documents that had no word stay. n_chars, where docs has it, follows the new text.
     """
     schema = docs.schema
+    applied, found = _applied(docs, doc_id, text, min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
-                runs = batch["_runs"].to_pylist()
+                runs = batch[found].to_pylist()
                 columns = {n: batch[n] for n in schema.names}
                 if any(runs):
                     texts, keep = columns[text].to_pylist(), np.ones(batch.num_rows, dtype=bool)
@@ -247,4 +444,4 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                 else:
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return _applied(docs, doc_id, text, min_words).mapInArrow(run, schema)
+    return applied.mapInArrow(run, schema)

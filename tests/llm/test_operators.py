@@ -244,6 +244,56 @@ def test_line_dedup(make, texts):
     assert linededup.judge(make([])).count() == 0
 
 
+def brute_runs(docs, least):
+    """Maximal later copies (id, first, lines) of runs of least words or more."""
+    lines = [(d, i, [tuple(x.split()) for x in t.split("\n")]) for d, t in docs for i in range(len(t.split("\n")))]
+    longest = {}
+    for k, (d, i, own) in enumerate(lines):
+        best = 0
+        for e, j, other in lines[:k]:
+            n = 0
+            while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                n += 1
+            best = max(best, n)
+        if sum(map(len, own[i : i + best])) >= least:
+            longest[(d, i + best)] = max(best, longest.get((d, i + best), 0))
+    return sorted((d, end - n, n) for (d, end), n in longest.items())
+
+
+def test_line_runs_are_maximal(spark, make):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions of the array
+    try:
+        for seed, letters, least in ((1, "ab", 4), (2, "abcdefgh", 5), (3, "abcdefghijklmnopqrstuvwxyz", 1)):
+            rng = random.Random(seed)
+            word = {x: " ".join(x * 2 for _ in range(rng.randrange(1, 4))) for x in letters}
+            phrase = [[word[rng.choice(letters)] for _ in range(rng.randrange(2, 30))] for _ in range(4)]
+            docs = []
+            for k in range(40):
+                body = [word[rng.choice(letters)] for _ in range(rng.randrange(1, 12))]
+                body[rng.randrange(len(body)) : 0] = rng.choice(phrase)
+                docs.append((k, "\n".join(body)))
+            docs += [(40, docs[3][1]), (41, docs[3][1] + "\n" + docs[4][1])]
+            got = linededup.later_copies(make([*docs, docs[5]]), min_words=least).collect()
+            assert sorted((r["id"], r["first"], r["lines"]) for r in got) == brute_runs(docs, least)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_columns_of_clashing_names(spark):
+    names = ["_th", "th", "runs", "_runs", "key", "copy_th", "_set_key", "set_key", "class", "spans", "_id", "label", "D", "q"]
+    rng = random.Random(3)
+    body = "\n".join(sentence(rng, 9) for _ in range(8))
+    rows = [(k, body if k < 4 else sentence(rng, 60) if k < 8 else None, "en", None, 7, *[k] * len(names)) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    bench = spark.createDataFrame([("a", body, 1)], "item_id string, text string, spans long")
+    for out in (linededup.remove(docs), neardup.representatives(docs), decontaminate.remove(docs, bench)):
+        assert out.columns == docs.columns
+        assert 5 <= len({r["doc_id"] for r in out.collect()}) < 9
+        assert all(r["_th"] == r["doc_id"] == r["D"] for r in out.collect())
+    for out in (linededup.judge(docs), neardup.join(docs), quality.judge(docs), licenses.scan(docs), bpe.encode(docs), decontaminate.scan(docs, bench)):
+        assert out.count() == 9
+
+
 def auc(scores, labels):
     a, b = scores[labels == 1], scores[labels == 0]
     return np.mean((a[:, None] > b) + 0.5 * (a[:, None] == b))
