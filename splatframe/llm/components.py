@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splatframe.llm.common import delete_saved, fresh_dir
+from splatframe.llm.common import Scratch, delete_saved, fresh_dir
 
 MAX_ROUNDS = 60
 
@@ -15,14 +15,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each vertex links its larger neighbours (large) or its smaller ones and itself to the least of all."""
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+    """Each vertex links its larger neighbours (large) or its smaller ones and itself to the least of all.
+
+    The least ones are a table of their own: so the join has plain sides, and a vertex with very many neighbours is
+    split by adaptive execution.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # Partial minima before the shuffle, so a vertex with very many neighbours is no hot key of the aggregate.
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = scratch.saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
     joined = both.join(least, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -52,7 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     if not seen[0]:
         return now.select("a", F.col("b").alias("label"))
     for _ in range(MAX_ROUNDS):
-        after, fresh = put(_star(_star(now, True), False))
+        with Scratch(spark) as scratch:
+            middle = scratch.saved(_star(now, True, scratch), "components-middle")
+            after, fresh = put(_star(middle, False, scratch))
         delete_saved(spark, path)
         state, (now, path) = _state(after), (after, fresh)
         if state == seen:

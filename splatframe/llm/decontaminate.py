@@ -5,16 +5,18 @@ that ends at each word is tracked, and words inside an occurrence of a benchmark
 or a whole shorter item) are hit. Before the automaton, two exact necessary conditions thin out the stream: a word
 that no item has ends every match, and so does a pair of neighbouring words that no item has.
 
-The automaton is broadcast. Its size is checked: items are dealt into shards of at most `shard_words` words each,
-and documents pass once through each shard, so a benchmark of any size is held in bounded memory.
-
-Null and empty texts have no words and no hits. Items without words, null items and null item ids match nothing.
-Repeated items count by distinct id. Extra columns are ignored by scan() and kept by remove().
+The automaton is broadcast. Its size is checked: items are dealt into shards of at most `shard_words` words each (a
+longer item is a shard of its own), and documents pass once through each shard, so an executor holds one automaton for
+each of its workers. The driver reads the benchmark by partitions and holds one automaton at a time.
+
+Null and empty texts have no words and no hits; very long texts are scanned whole. Items without words, null items and
+null item ids match nothing. Repeated items count by distinct id; so do ties, items of equal words. Repeated rows each
+get their result. An empty table or an empty benchmark gives no rows or no hits. Extra columns, of any name, are ignored
+by scan() and kept by remove().
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -39,28 +41,29 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.Struc
 class SuffixAutomaton:
     """Generalised suffix automaton of word-id sequences, with the items that each state's substrings occur in."""
 
-    def __init__(self, items: dict[str, list[bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        """items: (id, words), ids may be repeated."""
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         pairs = set()
-        sequences = {}
-        for item, words in items.items():
+        sequences = []
+        for item, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
             if ids:
-                sequences[item] = ids
+                sequences.append((item, ids))
                 pairs.update(zip(ids, ids[1:]))
                 last = 0
                 for x in ids:
                     last = self._extend(last, x)
-        self.least = min([window, *(len(x) for x in sequences.values())])
+        self.least = min([window, *(len(x) for _, x in sequences)])
         self.base = len(self.vocab) + 1
         self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), dtype=np.int64)
         self.owners: list[set[str]] = [set() for _ in self.next]
         self.whole: dict[int, list[str]] = {}
-        for item, ids in sequences.items():
+        for item, ids in sequences:
             state = 0
             for x in ids:
                 state = self.next[state][x]
@@ -176,22 +179,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _shards(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> list[SuffixAutomaton]:
+def _shards(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> Iterator[SuffixAutomaton]:
     """Automata of bounded size. Items stream to the driver one partition at a time."""
-    shards, items, held = [], {}, 0
+    items, held = [], 0
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         words = words_of((row.t or "").encode())
         if row.i is None or not words:
             continue
-        key = row.i
-        if key in items:  # a repeated id: its texts are items of their own with one name
-            key = f"{row.i}\0{len(items)}"
         if items and held + len(words) > shard_words:
-            shards.append(SuffixAutomaton(items, window))
-            items, held = {}, 0
-        items[key] = words
+            yield SuffixAutomaton(items, window)
+            items, held = [], 0
+        items.append((row.i, words))
         held += len(words)
-    return [*shards, *([SuffixAutomaton(items, window)] if items else [])]
+    if items:
+        yield SuffixAutomaton(items, window)
 
 
 def scan(
@@ -266,7 +267,7 @@ def _scan_batch(sam: SuffixAutomaton | None, batch: pa.RecordBatch) -> pa.Record
             batch["id"],
             pa.array([len(x) for x in docs], type=pa.int64()),
             pa.array([[{"first": a, "last": b} for a, b in _merged(x)] for x in spans], type=_span_type()),
-            pa.array([sorted({i.split("\0")[0] for i in x}) for x in items], type=pa.list_(pa.string())),
+            pa.array([sorted(x) for x in items], type=pa.list_(pa.string())),
         ],
         ["id", "n_words", "spans", "items"],
     )
@@ -306,9 +307,9 @@ def remove(
     while column in schema.names:
         column += "_"
     carried = T.StructType([*schema.fields, T.StructField(column, _SPANS)])
-    shards = _shards(benchmark, item_id, item_text, window, shard_words)
-    for k, shard in enumerate(shards):
-        automaton, first, last = spark.sparkContext.broadcast(shard), k == 0, k == len(shards) - 1
+    held = [spark.sparkContext.broadcast(x) for x in _shards(benchmark, item_id, item_text, window, shard_words)]
+    for k, automaton in enumerate(held):
+        first, last = k == 0, k == len(held) - 1
 
         def run(batches: Iterator[pa.RecordBatch], automaton=automaton, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -353,6 +354,3 @@ def _remove_batch(
         columns["n_chars"] = pa.array(counts, type=batch.schema.field("n_chars").type)
     return pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema).filter(pa.array(keep))
 
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -5,8 +5,9 @@ occur with up to `edits` insertions, deletions or substitutions of characters. B
 its edits + 1 pieces then stands unchanged, so an exact search for the pieces finds every candidate window; the regex
 library's bounded-error matching verifies each window and reports the span and its edits.
 
-Null and empty texts have no words, labels or spans and score 0. Repeated rows each get their result; extra columns
-are ignored. Whole texts are searched, of any length.
+Null and empty texts have no words, labels or spans and score 0. Whole texts are searched, of any length; windows are
+as long as their notices. Ties: of notices that fit a place equally well the label that comes first has it. Repeated
+rows each get their result; an empty table gives no rows; extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -143,16 +145,17 @@ def scan_text(text: bytes, notices: tuple[tuple[str, str, int], ...]) -> dict:
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
     starts, base, best = [], set(), 0.0
+    spaces = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)  # the k-th stands before word k
     for phrase, label in PHRASES.items():
         for at in places(line, b" " + phrase.encode() + b" "):
-            starts.append(line.count(b" ", 0, at + 1) - 1)
+            starts.append(int(np.searchsorted(spaces, at)))
             base.add(label)
     labels, spans = set(base), []
     for label, first, end, edits, size in fuzzy(line, notices):
         labels.add(label)
         best = max(best, 1 - edits / size)
         lead = len(line[first:end]) - len(line[first:end].lstrip())
-        word = line.count(b" ", 0, first + lead) - 1
+        word = int(np.searchsorted(spaces, first + lead)) - 1
         last = word + line[first:end].strip().count(b" ")
         spans.append({"label": label, "first_word": word, "last_word": last, "edits": edits})
     return {

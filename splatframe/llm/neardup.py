@@ -11,7 +11,10 @@ Only candidates' texts are read again: their ids are marked in a bitmap of fixed
 candidates and some others, that an exact join removes.
 
 Null texts and texts without words have no links and a class of their own (null ids too). Repeated rows are copies of
-each other. Extra columns are ignored by join() and kept by representatives().
+each other; so are ties, texts of one set. Of a class the least id stays (a null one where it has
+no other). Very long texts are taken
+whole: a set is one row. An empty table gives no rows. Extra columns, of any name, are ignored by join() and kept by
+representatives().
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splatframe.llm.common import saved, slices, texts_of, words_of
+from splatframe.llm.common import Scratch, new_name, saved, slices, texts_of, words_of
 from splatframe.llm.components import components
 
 SHINGLE = 5
@@ -42,6 +45,9 @@ BLOCK_MEMBERS = 1024
 #: Bits of the map that thins out the second reading; a few bytes a candidate do.
 BITMAP_BITS = 1 << 23
 
+#: What a text with a word has.
+A_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
 _MEMO = 1 << 19
 
 
@@ -123,8 +129,8 @@ def _signature_pass(bands: int, rows: int):
                 signs = own.signatures(sets)
                 lists = pa.ListArray.from_arrays(np.arange(0, signs.size + 1, bands, dtype=np.int32), signs.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), lists],
-                    ["id", "n", "set_key", "bands"],
+                    [batch["id"], batch["th"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), lists],
+                    ["id", "th", "n", "set_key", "bands"],
                 )
 
     return run
@@ -249,22 +255,23 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[doc_id].dataType),
+            T.StructField("th", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("set_key", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
         ]
     )
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     signed = saved(picked.mapInArrow(_signature_pass(bands, rows), schema), "neardup-signatures")
     entities = (
         signed.filter("n > 0").groupBy("set_key")
         .agg(F.count("*").alias("mult"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
-    return signed, saved(entities, "neardup-entities")
+    return signed, scratch.saved(entities, "neardup-entities")
 
 
 def _buckets(entities: DataFrame) -> DataFrame:
@@ -298,12 +305,33 @@ def join(
 
 def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int) -> tuple[DataFrame, DataFrame]:
     """Signatures, and for each entity: set_key, mult, least_id, links, label, class_id."""
+    with Scratch(docs.sparkSession) as scratch:
+        bands = bands_for(recall, NEAR[0] / NEAR[1], rows)
+        signed, entities = _entities(docs, doc_id, text, bands, rows, scratch)
+        met = _verified(docs, doc_id, text, entities, bands, rows, scratch)
+        links = met.groupBy("set_key").agg(F.sum("links").alias("links"))
+        labels = components(met.select(F.col("set_key").alias("a"), F.col("near").alias("b")))
+        labelled = (
+            entities.select("set_key", "mult", "least_id")
+            .join(links, "set_key", "left")
+            .join(labels.withColumnRenamed("a", "set_key"), "set_key", "left")
+            .select(
+                "set_key", "mult", "least_id", F.coalesce("links", F.lit(0)).alias("links"),
+                F.coalesce("label", "set_key").alias("label"),
+            )
+        )
+        labelled = scratch.saved(labelled, "neardup-labels")
+        # A table of its own: the join below then has plain sides, of which a hot one is split.
+        least = scratch.saved(labelled.groupBy("label").agg(F.min("least_id").alias("class_id")), "neardup-least")
+        return signed, saved(labelled.join(least, "label"), "neardup-classes")
+
+
+def _verified(docs: DataFrame, doc_id: str, text: str, entities: DataFrame, bands: int, rows: int, scratch: Scratch) -> DataFrame:
+    """(set_key, links, near): for each member of a block pair its links there, and the least entity connected."""
     spark = docs.sparkSession
-    bands = bands_for(recall, NEAR[0] / NEAR[1], rows)
-    signed, entities = _entities(docs, doc_id, text, bands, rows)
-    members = saved(_buckets(entities), "neardup-buckets")
+    members = scratch.saved(_buckets(entities), "neardup-buckets")
     candidates = members.select("set_key").distinct().join(entities, "set_key")
-    candidates = saved(candidates.withColumn("k", F.xxhash64("least_id")), "neardup-candidates")
+    candidates = scratch.saved(candidates.withColumn("k", F.xxhash64("least_id")), "neardup-candidates")
     bitmap = spark.sparkContext.broadcast(_bitmap(candidates))
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("k"))
     schema = T.StructType(
@@ -338,43 +366,29 @@ def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int)
             T.StructField("near", T.BinaryType()),
         ]
     )
-    met = saved(
+    return scratch.saved(
         laid.select(*group, "set_key", "mult", "block", "bands", "set").mapInArrow(_verify_pass, out), "neardup-links"
     )
-    links = met.groupBy("set_key").agg(F.sum("links").alias("links"))
-    labels = components(met.select(F.col("set_key").alias("a"), F.col("near").alias("b")))
-    labelled = (
-        entities.select("set_key", "mult", "least_id")
-        .join(links, "set_key", "left")
-        .join(labels.withColumnRenamed("a", "set_key"), "set_key", "left")
-        .select(
-            "set_key", "mult", "least_id", F.coalesce("links", F.lit(0)).alias("links"),
-            F.coalesce("label", "set_key").alias("label"),
-        )
-    )
-    labelled = saved(labelled, "neardup-labels")
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    return signed, labelled.join(least, "label")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = TARGET_RECALL, rows: int = MOST_ROWS) -> DataFrame:
-    """docs with all its columns, one row of each class: the least id's. Documents without words all stay."""
-    bands = bands_for(recall, NEAR[0] / NEAR[1], rows)
-    _, classes = _classes(docs, doc_id, text, recall, rows)
-    kept = classes.filter(F.col("least_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(
-        F.min(F.struct("least_id", "set_key")).alias("k")
-    ).select(F.col("k.set_key").alias("_set_key"), F.col("k.least_id").alias("_id"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set_key", T.BinaryType())])
+    """docs with all its columns, one row of each class: the least id's. Documents without words all stay.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shingler(bands, rows)
-        for whole in batches:
-            for batch in slices(whole, text):
-                keys = [set_key(s) if len(s) else None for s in own.sets(texts_of(batch, text))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], schema.names)
-
-    keyed = docs.mapInArrow(run, schema)
-    once = keyed.join(
-        kept, (keyed["_set_key"] == kept["_set_key"]) & keyed[doc_id].eqNullSafe(kept["_id"])
-    ).select(*(keyed[c] for c in keyed.columns)).dropDuplicates(["_set_key"])
-    return once.unionByName(keyed.filter("_set_key is null")).select(*docs.columns)
+    Rows of the least id that have different texts are told apart by hashes of the texts; the least hash stays.
+    """
+    signed, classes = _classes(docs, doc_id, text, recall, rows)
+    key, th = new_name(docs.columns, "key"), new_name(docs.columns, "th")
+    first = classes.filter(F.col("least_id").eqNullSafe(F.col("class_id"))).select("set_key", "label", "least_id").alias("f")
+    place = (
+        signed.filter("n > 0").select("id", "th", "set_key").alias("s")
+        .join(first, (F.col("s.set_key") == F.col("f.set_key")) & F.col("s.id").eqNullSafe(F.col("f.least_id")))
+        .groupBy("f.label").agg(F.min(F.struct("s.id", "s.th")).alias("k"))
+    )
+    kept = saved(place.select(F.col("k.id").alias(key), F.col("k.th").alias(th)), "neardup-kept")
+    hashed = new_name([*docs.columns, th], "hash")
+    marked = docs.withColumn(hashed, F.xxhash64(F.col(text)))
+    once = (
+        marked.join(kept, marked[doc_id].eqNullSafe(kept[key]) & (marked[hashed] == kept[th]))
+        .select(*(marked[c] for c in marked.columns)).dropDuplicates([doc_id, hashed]).drop(hashed)
+    )
+    return once.unionByName(docs.filter(~F.coalesce(F.col(text).rlike(A_WORD), F.lit(False))))

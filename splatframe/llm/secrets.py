@@ -2,15 +2,17 @@
 
 Everything on the main path is DataFrame and SQL functions. Candidates are found in whole texts by one regular
 expression; each is described by its length, its character classes and transitions between them, how much of it a
-dictionary's fragments cover, the kind of source path it stands in, and its neighbouring words. The forest is Spark's
+dictionary's words cover, the kind of source path it stands in, and its neighbouring words. The forest is Spark's
 own, trained from labelled findings; its trees are then compiled to CASE expressions, so scoring stays inside
 generated code and needs no shuffle.
 
 The built-in labelled findings follow from a rule: random keys of several alphabets beside telling words are secrets;
 words, names, paths, embedded data, numbers, hashes beside "commit", placeholders and repeated characters are not.
 
-Null and empty texts have no findings. A text's candidates are all judged at each of their places, of any number; a
-repeated candidate gets its highest score, the first place that has it, and n_places. Extra columns are ignored; repeated rows each give their findings.
+Null and empty texts have no findings. Very long texts are taken whole: a text's candidates are all judged at each of
+their places, of any number and length. A repeated candidate gets its highest score, of ties the first place that has
+it, and n_places. Null paths are no code. Repeated rows each give their findings; an empty table gives none; extra
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,29 @@ DEPTH = 6
 LABELLED = 3000
 THRESHOLD = 0.5
 
-# Words beside a candidate, and fragments of ordinary words.
+# Words beside a candidate.
 TELLING = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "bearer", "credential", "private_key"]
 HARMLESS = ["commit", "sha", "checksum", "md5", "example", "uuid", "etag", "version", "build", "page", "order", "isbn"]
-FRAGMENTS = ["the", "ing", "tion", "ment", "er", "on", "an", "en", "st", "re", "ed", "ou", "es", "in", "test", "data", "name", "user", "file", "http", "www", "com", "key"]
+#: The dictionary: common words of prose, of names in programs and of paths.
+WORDS = (
+    "about access account action active address after again agent alias also always amount animal answer apple array "
+    "article author back base been before best better between block board body book build button cache call campaign "
+    "case change check child city class client close cloud code color column comment config connect content control "
+    "copy count country create current data date default delete demo design device digest document domain down draft "
+    "edit email enable english error event every example export feature field file filter final first fixture folder "
+    "font form found frame from function garden general global good great green group handle hash header height hello "
+    "help here high history home host house image import index info input into item java join json just label language "
+    "large last layout level library license light limit line link list live load local long look loop main make manager "
+    "market master match media member menu message method minute mode model module money month more most move music name "
+    "network never news next night note number object office only open option order other over page paper parent part path "
+    "people photo place plain plan player point post power print private process product profile project public query "
+    "question random read record release remote report request result return river road root sample school screen script "
+    "search second section select server service session share short simple since site size small some sort source start "
+    "state static status store stream street string style submit summer support system table target task temp test text "
+    "that them then there thing this time title today total trace train travel tree type under unit update upload user "
+    "value version video view water week what when where which white width window winter with word work world would "
+    "write year your html http utils main"
+).split()
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "xoxb-", "xoxp-", "AIza", "SG.", "eyJ"]
 
 FEATURES = [
@@ -96,7 +117,7 @@ def described(found: DataFrame) -> DataFrame:
         "U" * 26 + "l" * 26 + "d" * 10 + "o" * 5,
     )
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
-    fragment = "|".join(FRAGMENTS)
+    fragment = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
     covered = 1 - F.length(F.regexp_replace(F.lower(c), fragment, "")) / size
     near = F.lower(F.concat_ws(" ", "before", "after"))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -126,7 +147,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))  # noqa: E731, E501
     mixed = F.translate(F.base64(F.unhex(digest("m"))), "+/=", "xYz")
     upper = F.upper(F.translate(mixed, "xyz", "QRS"))
-    word = F.concat_ws("_", pick(FRAGMENTS, 1), pick(FRAGMENTS, 2), pick(FRAGMENTS, 3), pick(FRAGMENTS, 4), pick(FRAGMENTS, 5))
+    word = F.concat_ws("_", pick(WORDS, 1), pick(WORDS, 2), pick(WORDS, 3), pick(WORDS, 4), pick(WORDS, 5))
     slug = F.concat(word, F.lit("-"), F.pmod(F.col("id"), F.lit(997)).cast("string"))
     plain = F.concat(pick(["see the page about ", "of the and in ", "then there was ", "order "], 6))
     kind = F.pmod("id", F.lit(20)).cast("int")
@@ -157,10 +178,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
             F.repeat(F.concat(F.lit("x1"), F.lit("0")), 8),
             F.concat(F.lit("YOUR_KEY_HERE_"), F.pmod(F.col("id"), F.lit(100)).cast("string")),
             F.concat_ws("-", F.substring(digest("u"), 1, 8), F.substring(digest("u"), 9, 4), F.substring(digest("u"), 13, 4), F.substring(digest("u"), 17, 12)),
-            F.concat_ws("_", told, dull, pick(FRAGMENTS, 15), pick(FRAGMENTS, 16)),
-            F.concat(pick(FRAGMENTS, 1), pick(FRAGMENTS, 2), pick(FRAGMENTS, 3), F.pmod(F.col("id"), F.lit(997)).cast("string")),
+            F.concat_ws("_", told, dull, pick(WORDS, 15), pick(WORDS, 16)),
+            F.concat(pick(WORDS, 1), pick(WORDS, 2), pick(WORDS, 3), F.pmod(F.col("id"), F.lit(997)).cast("string")),
             long,
-            F.concat_ws("/", word, pick(FRAGMENTS, 15), pick(FRAGMENTS, 16)),
+            F.concat_ws("/", word, pick(WORDS, 15), pick(WORDS, 16)),
         ).alias("candidate"),
         F.when(kind == 18, F.concat(plain, F.lit("data:image/png;base64,")))
         .when(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(3)) == 0, F.concat(plain, F.lit(" ")))

@@ -5,11 +5,14 @@ class prior is the share of toxic rows among training labels. A linear model ove
 minimises `prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))` in numpy. Labels of the held-out fold
 (crc32 of the id as text, modulo 5, is 0) are never read; ids, languages and sources are no features.
 
-Bounds: at most `max_positive` toxic and `max_unlabelled` other texts are fitted, picked by a hash of the id, so the
-driver holds a bounded number of texts and the broadcast model at most `max_features` features.
-
-Null and empty texts have no features and get the model's score for none. Labels of no document, null labels and
-repeated labels are harmless. Without any positive the score is 0. Extra columns are ignored.
+Bounds: at most `max_positive` toxic and `max_unlabelled` other ids are fitted, picked by a hash of the id, with one
+text each (of a repeated id, the least). Their texts pass through the driver one by one, and leave there the ids of
+features that several positives have; the broadcast model has at most `max_features` features.
+
+Null and empty texts have no features and get the model's score for none; very long texts count once for each of their
+features. Labels of no document, null labels and repeated labels are harmless, an id that is labelled both ways counts
+as toxic. Without any positive the score is 0. Repeated rows and ties get equal scores. An empty table gives no rows.
+Extra columns, of any name, are ignored by score() and kept by reject().
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splatframe.llm.common import slices, texts_of, words_of
+from splatframe.llm.common import Scratch, slices, texts_of, words_of
 
 FOLDS = 5
 MAX_POSITIVE = 2500
@@ -89,13 +92,18 @@ class LinearModel:
 class Sample:
     """Feature ids of positive and unlabelled texts. Only features of LEAST_HOLDERS positives or more have an id."""
 
-    def __init__(self, positive: list[bytes], unlabelled: list[bytes]):
-        count = Counter(f for x in positive for f in features(x))
+    def __init__(self, rows: Callable[[], Iterable[tuple[bytes, set[int]]]]):
+        """rows gives (text, roles) anew at each call: role 1 is a positive, 0 an unlabelled text."""
+        count = Counter(f for text, roles in rows() if 1 in roles for f in features(text))
         self.names = sorted(f for f, n in count.items() if n >= LEAST_HOLDERS)
         del count
         self.ids = {f: k for k, f in enumerate(self.names)}
-        self.positive = [self._known(x) for x in positive]
-        self.unlabelled = [self._known(x) for x in unlabelled]
+        self.positive: list[np.ndarray] = []
+        self.unlabelled: list[np.ndarray] = []
+        for text, roles in rows():
+            known = self._known(text)
+            for role in roles:
+                (self.unlabelled, self.positive)[role].append(known)
 
     def _known(self, text: bytes) -> np.ndarray:
         get = self.ids.get
@@ -202,17 +210,12 @@ def train(
     for row in picked:
         role.setdefault(row["id"], set()).add(row["p"])
     key = spark.createDataFrame([(x,) for x in sorted(role)], T.StructType([T.StructField("id", docs.schema[doc_id].dataType)]))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(key), "id")
-    positive, unlabelled = [], []
-    for row in texts.toLocalIterator():
-        raw = (row["text"] or "").encode()
-        if 1 in role[row["id"]]:
-            positive.append(raw)
-        if 0 in role[row["id"]]:
-            unlabelled.append(raw)
-    if not positive or not unlabelled:
+    with Scratch(spark) as scratch:
+        texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(key), "id")
+        texts = scratch.saved(texts.groupBy("id").agg(F.min("text").alias("text")).orderBy("id"), "toxicity-sample")
+        sample = Sample(lambda: (((r["text"] or "").encode(), role[r["id"]]) for r in texts.toLocalIterator()))
+    if not sample.positive or not sample.unlabelled:
         return LinearModel({}, -40.0)
-    sample = Sample(positive, unlabelled)
     chosen = select_features(sample, max_features)
     parts = (sample.matrix(x, chosen) for x in (sample.positive, sample.unlabelled))
     weights, bias = fit_nnpu(*parts, prior)
