@@ -1,9 +1,4 @@
-"""Grid-based spatial operators: exact k nearest neighbours, range joins, normals.
-
-k-NN is an equi-join on grid cells. A query meets the cells within R of its own; its answer is certain if its k-th
-distance is at most R cells. Only uncertain queries go on to a larger R, so the result is exact whatever the cell.
-Order of neighbours is (distance, splat_id): ties are settled the same way on every run.
-"""
+"""Spatial operators: grids, exact k nearest neighbours, range joins, normals."""
 
 from __future__ import annotations
 
@@ -12,6 +7,8 @@ from pyspark.sql import functions as F
 
 from splatframe.functions import covariance
 from splatframe.functions.activation import is_finite
+from splatframe.operators import neighbours
+from splatframe.operators.cut import cut
 
 MAX_CELLS, MAX_SHELL, MAX_K = 1 << 22, 16, 32
 XYZ = ("x", "y", "z")
@@ -73,65 +70,26 @@ def cell_rank(df: DataFrame, grid: dict) -> DataFrame:
     return with_cells(df, grid).withColumn("cell", flat_cell(grid)).withColumn("slot", F.row_number().over(own) - 1)
 
 
-def _neighbour_cells(df: DataFrame, radius: int) -> DataFrame:
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    out = df
-    for c, d in (("cx", "dx"), ("cy", "dy"), ("cz", "dz")):
-        out = out.withColumn(d, F.explode(span)).withColumn(f"n{c}", F.col(c) + F.col(d))
-    return out.drop("dx", "dy", "dz")
-
-
 def _distance(a: str, b: str) -> Column:
     d = [F.col(f"{a}.{v}").cast("double") - F.col(f"{b}.{v}").cast("double") for v in XYZ]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def _shell(queries: DataFrame, points: DataFrame, k: int, radius: int, grid: dict, itself: bool) -> DataFrame:
-    q = _neighbour_cells(queries, radius).alias("q")
-    near = (F.col("q.ncx") == F.col("p.cx")) & (F.col("q.ncy") == F.col("p.cy")) & (F.col("q.ncz") == F.col("p.cz"))
-    if not itself:
-        near = near & (F.col("q.splat_id") != F.col("p.splat_id"))
-    pairs = q.join(points.alias("p"), near).select(
-        F.col("q.splat_id").alias("splat_id"), F.col("p.splat_id").alias("other"), _distance("q", "p").alias("d"),
-        *(F.col(f"p.{a}").cast("double").alias(f"o{a}") for a in XYZ),
-    )
-    order = Window.partitionBy("splat_id").orderBy("d", "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def knn(df: DataFrame, k: int, factor: float = 1.0, itself: bool = False) -> DataFrame:
+def knn(df: DataFrame, k: int, itself: bool = False) -> DataFrame:
     """(splat_id, other, d, rank, ox, oy, oz): the k nearest of each point, exact. Fewer where the cloud is smaller.
 
-    Duplicate splat_ids are not supported; non-finite points neither ask nor answer.
+    Duplicate splat_ids are not supported; non-finite points neither ask nor answer. One place or a far outlier may hold
+    any share of the points.
     """
     points = finite(df.select("splat_id", *XYZ))
-    grid = grid_parameters(points, factor)
-    if grid is None:
-        return _brute(points, points, k, itself)
-    k = min(k, grid["n"] - (0 if itself else 1))
-    points = with_cells(points, grid)
-    most = max(grid["dims"])
-    out, asked, radius = None, points, 1
-    while True:
-        found = _shell(asked, points, k, radius, grid, itself)
-        everything = radius >= most
-        certain = found.groupBy("splat_id").agg(F.count("*").alias("c"), F.max("d").alias("far"))
-        certain = certain.filter((F.col("c") == k) & (F.col("far") <= radius * grid["cell"])).select("splat_id")
-        part = found if everything else found.join(certain, "splat_id", "left_semi")
-        out = part if out is None else out.unionByName(part)
-        if everything:
-            return out
-        asked = asked.join(certain, "splat_id", "left_anti")
-        if radius >= 2:  # what is left is few: a cut of the lineage would cost more than the count
-            if asked.isEmpty():
-                return out
-        radius = min(most, radius * 2)
-        if radius >= 4:
-            left = asked.count()
-            if left == 0:
-                return out
-            if left * grid["n"] <= 50_000_000:  # outliers: their distances to all points, in a bounded number
-                return out.unionByName(_brute(asked, points, k, itself))
+    row = points.agg(F.count("*").alias("n"), *(f(F.col(a).cast("double")).alias(f"{n}_{a}") for a in XYZ for n, f in (("min", F.min), ("max", F.max)))).first()  # fmt: skip # noqa: E501
+    n = row["n"]
+    k = min(k, n - (0 if itself else 1))
+    low = [row[f"min_{a}"] or 0.0 for a in XYZ]
+    extent = max((row[f"max_{a}"] or 0.0) - x for a, x in zip(XYZ, low)) or 1.0
+    found = neighbours.nearest(points, n, low, extent, max(1, k), itself) if n else points.select("splat_id", F.expr(f"cast(null as {neighbours.NEAR_SQL})").alias("near"))  # fmt: skip # noqa: E501
+    each = found.select("splat_id", F.posexplode("near").alias("at", "p"))
+    return each.select("splat_id", "p.other", "p.d", (F.col("at") + 1).alias("rank"), "p.ox", "p.oy", "p.oz")
 
 
 def _brute(queries: DataFrame, points: DataFrame, k: int, itself: bool) -> DataFrame:
