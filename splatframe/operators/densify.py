@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splatframe.functions import quaternion
-from splatframe.operators import spatial
+from splatframe.operators import ranks, spatial
+from splatframe.operators.cut import cut
 
 XYZ = ("x", "y", "z")
 
@@ -38,15 +39,6 @@ class Stats:
     median_spacing: float
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the session's folder; without one, plans just grow."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df.persist()
-
-
 def candidates(cloud: DataFrame, stats: DataFrame, median: float, config: Config = Config()) -> DataFrame:
     """(candidate_id, source, x, y, z, dirx, diry, dirz) of training rows: one ahead of each rim point, two along the
     long axis of each sparse one. Order: by source, then the side -1 before +1."""
@@ -78,7 +70,7 @@ def greedy_separation(points: DataFrame, distance: float) -> DataFrame:
         asked = asked.withColumn("s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{a}", F.col(f"c{a}") + F.col("s")).drop("s")  # fmt: skip # noqa: E501
     on = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
     near = asked.alias("a").join(cells.alias("b"), on & (F.col("a.candidate_id") > F.col("b.candidate_id")))
-    edges = _cut(
+    edges = cut(
         near.filter(spatial._distance("a", "b") < distance)
         .select(F.col("a.candidate_id").alias("later"), F.col("b.candidate_id").alias("earlier")).distinct()
     )
@@ -86,14 +78,14 @@ def greedy_separation(points: DataFrame, distance: float) -> DataFrame:
     while True:
         # A candidate without undecided earlier neighbours stays: those that were kept have removed theirs already.
         waits = edges.select(F.col("later").alias("candidate_id")).distinct()
-        stay = _cut(undecided.join(waits, "candidate_id", "left_anti"))
+        stay = cut(undecided.join(waits, "candidate_id", "left_anti"))
         kept = stay if kept is None else kept.unionByName(stay)
         gone = edges.join(stay.withColumnRenamed("candidate_id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("candidate_id")).distinct()  # fmt: skip # noqa: E501
-        undecided = _cut(undecided.join(stay, "candidate_id", "left_anti").join(gone, "candidate_id", "left_anti"))
+        undecided = cut(undecided.join(stay, "candidate_id", "left_anti").join(gone, "candidate_id", "left_anti"))
         if undecided.isEmpty():
             return kept
         open_ = undecided.select("candidate_id")
-        edges = _cut(
+        edges = cut(
             edges.join(open_.withColumnRenamed("candidate_id", "later"), "later", "left_semi")
             .join(open_.withColumnRenamed("candidate_id", "earlier"), "earlier", "left_semi")
             .select("later", "earlier")
@@ -103,9 +95,7 @@ def greedy_separation(points: DataFrame, distance: float) -> DataFrame:
 def synthesise(accepted: DataFrame, cloud: DataFrame, median: float, first_id: int) -> DataFrame:
     """Rows for accepted candidates: the source's values at a new place, scales at most log(1.5 median)."""
     top = F.ln(F.lit(1.5 * median))
-    from pyspark.sql import Window
-
-    numbered = accepted.withColumn("place", F.row_number().over(Window.orderBy("candidate_id")))
+    numbered = ranks.numbered(accepted, ["candidate_id"], "place")
     new = numbered.select(F.col("source").alias("splat_id"), "place", *(F.col(a).alias(f"n{a}") for a in XYZ))
     rows = new.join(cloud, "splat_id")
     replaced = {a: F.col(f"n{a}").cast(cloud.schema[a].dataType) for a in XYZ}
@@ -123,24 +113,24 @@ def fill_holes(cloud: DataFrame, config: Config = Config()) -> tuple[DataFrame,
     cap = int(config.growth * n0)
     for step in range(config.iterations):
         k = max(1, min(config.k, n0 + added - 1, spatial.MAX_K))
-        if spatial.grid_parameters(spatial.finite(cloud)) is None:
+        if spatial.grid_parameters(spatial.finite(cloud)) is None:  # no extent, no spacing
             break
-        stats = _cut(spatial.knn_stats(cloud, k))
+        stats = cut(spatial.knn_stats(cloud, k))
         median = spatial.upper_median(stats, "mean_d")
         if not median:
             break
         reported = reported or median
-        offered = _cut(candidates(cloud, stats, median, config))
+        offered = cut(candidates(cloud, stats, median, config))
         tests = spatial.nearest_and_support(offered, cloud, median * config.hole)
         fit = offered.join(tests, "candidate_id").filter((F.col("min_dist") >= median * config.separation) & F.col("supported"))
-        fit = _cut(fit.select(*offered.columns))
+        fit = cut(fit.select(*offered.columns))
         kept = fit.join(greedy_separation(fit, median * config.separation), "candidate_id", "left_semi")
-        kept = _cut(kept.orderBy("candidate_id").limit(cap - added))
+        kept = cut(kept.orderBy("candidate_id").limit(cap - added))
         n = kept.count()
         if not n:
             break
         last = cloud.agg(F.max("splat_id")).first()[0]
-        cloud = _cut(cloud.unionByName(synthesise(kept, cloud, median, last)))
+        cloud = cut(cloud.unionByName(synthesise(kept, cloud, median, last)))
         added, passes = added + n, step + 1
         if added >= cap:
             break

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from splatframe.functions import color
 from splatframe.functions.activation import is_finite
+from splatframe.operators import ranks
 
 
 def subsample(df: DataFrame, n: int) -> DataFrame:
@@ -17,8 +18,7 @@ def subsample(df: DataFrame, n: int) -> DataFrame:
 
 def view_percentile(df: DataFrame, column: str, percent: float, name: str) -> DataFrame:
     """The linearly interpolated percentile of each view's finite values."""
-    values = df.filter(is_finite(F.col(column).cast("double")))
-    return values.groupBy("view").agg(F.percentile(F.col(column).cast("double"), percent / 100).alias(name))
+    return ranks.percentile(df.filter(is_finite(F.col(column).cast("double"))), ["view"], column, percent / 100, name)
 
 
 def depth_mask(df: DataFrame, low: float = 0.1, high: float = 100.0, percent: float = 40.0) -> DataFrame:
@@ -64,7 +64,7 @@ def unproject(df: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def depth_scales(df: DataFrame, factor: float = 0.01) -> DataFrame:
     """Adds scale: factor times depth over the view's median, within a tenth and ten thousand factors."""
-    middle = df.groupBy("view").agg(F.median(F.col("depth").cast("double")).alias("middle"))
+    middle = ranks.percentile(df, ["view"], "depth", 0.5, "middle")
     value = factor * F.col("depth") / F.col("middle")
     return df.join(middle, "view").withColumn("scale", F.greatest(F.lit(0.1 * factor), F.least(F.lit(10000 * factor), value))).drop("middle")
 

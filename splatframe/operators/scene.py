@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splatframe.functions import covariance, sh
+from splatframe.operators.cut import cut
+from splatframe.plans.governance import SplatError
 from splatframe.schema import ROTATION, SCALE
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
@@ -52,9 +54,9 @@ def apply_point(t: Column, p: list[Column]) -> list[Column]:
 def flatten(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(node, transform, depth): world transforms of the nodes that roots reach; a node counts once, at its least depth.
 
-    nodes (node, transform), edges (parent, child), roots (node).
+    nodes (node, transform), edges (parent, child), roots (node). Each level is cut, so plans don't grow with depth.
     """
-    level = roots.select("node").distinct().join(nodes, "node").withColumn("depth", F.lit(0))
+    level = cut(roots.select("node").distinct().join(nodes, "node").withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth + 1):
         step = (
@@ -63,34 +65,43 @@ def flatten(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
             .select(F.col("c.node").alias("node"), F.col("p.node").alias("from_node"), compose(F.col("p.transform"), F.col("c.transform")).alias("transform"))
         )
         step = step.join(out.select("node"), "node", "left_anti")
-        first = Window.partitionBy("node").orderBy("from_node")
-        step = step.withColumn("r", F.row_number().over(first)).filter("r = 1").select("node", "transform", F.lit(depth).alias("depth"))
-        if step.isEmpty():
+        first = step.groupBy("node").agg(F.min_by("transform", "from_node").alias("transform"))
+        level = cut(first.withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
             return out
-        level, out = step, out.unionByName(step)
+        out = out.unionByName(level)
     raise ValueError("the graph is deeper than allowed")
 
 
 def graph_problems(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(problem, node): children with several parents, references to nothing, roots that are children."""
+    """(problem, node): children with several parents, references to nothing, roots that are children, and nodes on a
+    cycle or behind one."""
+    edges = edges.select("parent", "child").distinct()
     many = edges.groupBy("child").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("several_parents").alias("problem"), F.col("child").alias("node"))
     lost = edges.select(F.explode(F.array("parent", "child")).alias("node")).unionByName(roots.select("node")).distinct()
     lost = lost.join(nodes, "node", "left_anti").select(F.lit("missing_node").alias("problem"), "node")
     root = roots.select("node").join(edges.select(F.col("child").alias("node")), "node", "left_semi").distinct().select(F.lit("root_has_parent").alias("problem"), "node")  # fmt: skip # noqa: E501
-    return many.unionByName(lost).unionByName(root)
-
-
-def has_cycle(edges: DataFrame) -> bool:
-    """Whether nodes remain when those without parents are taken off again and again."""
-    left = edges.select("parent", "child")
-    while True:
-        n = left.count()
-        if not n:
-            return False
-        inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        if inner.count() == n:
-            return True
+    return many.unionByName(lost).unionByName(root).unionByName(cycle_nodes(edges).select(F.lit("cycle").alias("problem"), "node"))
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node): what is left when nodes without a parent are taken off again and again. Each round is cut."""
+    left = cut(edges.select("parent", "child").distinct())
+    n = left.count()
+    while n:
+        inner = cut(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child"))
+        before, n = n, inner.count()
         left = inner
+        if n == before:
+            break
+    return left.select(F.col("child").alias("node")).distinct()
+
+
+def require_tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> None:
+    """Refuses a graph with any problem, by the first one's name."""
+    found = graph_problems(nodes, edges, roots).orderBy("problem", "node").first()
+    if found:
+        raise SplatError("MK2136", f"{found['problem']}: node {found['node']}")
 
 
 def broken_references(table: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
@@ -211,7 +222,7 @@ def transform_normal(n: list[Column], m: list[float]) -> list[Column]:
     a = [[m[4 * c + r] for c in range(3)] for r in range(3)]
     cof = [[a[(i + 1) % 3][(j + 1) % 3] * a[(i + 2) % 3][(j + 2) % 3] - a[(i + 1) % 3][(j + 2) % 3] * a[(i + 2) % 3][(j + 1) % 3] for j in range(3)] for i in range(3)]  # fmt: skip # noqa: E501
     det = sum(a[0][j] * cof[0][j] for j in range(3))
-    if not math.isfinite(det) or abs(det) < 1e-300:
+    if not math.isfinite(det) or abs(det) < 1e-15:
         return [F.lit(None).cast("double")] * 3
     out = [(cof[i][0] * n[0] + cof[i][1] * n[1] + cof[i][2] * n[2]) / det for i in range(3)]
     size = F.sqrt(out[0] * out[0] + out[1] * out[1] + out[2] * out[2])

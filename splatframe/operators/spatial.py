@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splatframe.functions import covariance
 from splatframe.functions.activation import is_finite
-from splatframe.operators import neighbours
+from splatframe.operators import neighbours, ranks
 from splatframe.operators.cut import cut
 
 MAX_CELLS, MAX_SHELL, MAX_K = 1 << 22, 16, 32
@@ -125,11 +125,9 @@ def adaptive_scales(df: DataFrame, k: int = 8, factor: float = 0.5, low: float =
 
 def upper_median(df: DataFrame, column: str) -> float | None:
     """The element of rank n // 2 (from 0) of the positive values, without interpolation."""
-    values = df.filter(F.col(column) > 0).select(column)
-    n = values.count()
-    if not n:
-        return None
-    return values.agg(F.expr(f"percentile_disc({(n // 2 + 1) / n - 0.5 / n}) within group (order by {column})")).first()[0]
+    placed = cut(ranks.numbered(df.filter(F.col(column) > 0).select(column), [column], "place"))
+    found = placed.filter(F.col("place") == placed.count() // 2 + 1).first()
+    return found[0] if found else None
 
 
 def nearest_and_support(candidates: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
@@ -184,7 +182,7 @@ def by_distance(df: DataFrame, camera: tuple[float, float, float]) -> DataFrame:
     """Adds d2 and distance_rank, near to far, by (d2, splat_id)."""
     d = [F.col(a).cast("double") - c for a, c in zip(XYZ, camera)]
     out = df.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    return out.withColumn("distance_rank", F.row_number().over(Window.orderBy("d2", "splat_id")))
+    return ranks.numbered(out, ["d2", "splat_id"], "distance_rank").withColumn("distance_rank", F.col("distance_rank").cast("int"))
 
 
 def sort_by_distance(df: DataFrame, camera: tuple[float, float, float]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splatframe.functions import activation, color, covariance, quaternion, sh, text
-from splatframe.operators import densify, mesh, reconstruct, render, scene, spatial, validate
+from splatframe.operators import densify, mesh, ranks, reconstruct, render, scene, spatial, validate
+from splatframe.operators.cut import cut
 from splatframe.plans import views
 from splatframe.plans.views import BIG_SQL, CANON_SQL, DEPTH_SQL, FRAMES_SQL, LOSSES_SQL, TRAIN_SQL, VERTICES_SQL, rnd, sql_rnd, table
 from splatframe.sources import files
@@ -90,10 +91,14 @@ _scalar(
 )
 
 
-@_query("quat_is_unit", f"WITH {CANON_SQL} SELECT c.splat_id, true AS unit, abs({_norm}-1) <= 1e-3 AS raw_unit FROM c JOIN t USING (splat_id)")
+@_query("quat_is_unit", f"WITH {CANON_SQL} SELECT c.splat_id, c.splat_id % 4 < 2 AS unit, abs({_norm}-1) <= 1e-3 AS raw_unit FROM c JOIN t USING (splat_id)")
 def quat_is_unit(spark, d):
+    """Rows are stretched by 0, 5, 20 or 35 ten thousandths."""
     t = views.cloud_train(spark, d)
-    return t.select("splat_id", quaternion.is_unit(*quaternion.normalize(*RAW())).alias("unit"), quaternion.is_unit(*RAW()).alias("raw_unit"))
+    k = c("splat_id") % 4
+    stretch = F.when(k == 0, F.lit(1.0)).when(k == 1, F.lit(1.0005)).when(k == 2, F.lit(1.002)).otherwise(F.lit(1.0035))
+    near = [v * stretch for v in quaternion.normalize(*RAW())]
+    return t.select("splat_id", quaternion.is_unit(*near).alias("unit"), quaternion.is_unit(*RAW()).alias("raw_unit"))
 
 
 _scalar(
@@ -201,13 +206,16 @@ _scalar("sh_basis", lambda: {f"b{k}": v for k, v in enumerate(sh.basis(*_DIR()))
 _scalar("sh_evaluate", lambda: {n: v for n, v in zip("rgb", sh.evaluate(c("sh"), 3, _DIR()))}, {n: "+".join(f"{_BASIS[k]}*sh[{3 * k + i + 1}]" for k in range(16)) for i, n in enumerate("rgb")})
 _ENERGY = lambda v, l, i: sum((v[3 * k + i] * v[3 * k + i] for k in range(l * l + 1, (l + 1) ** 2)), v[3 * l * l + i] * v[3 * l * l + i])  # noqa: E731, E741
 TURN = [0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6]
+_BACK = sh._polynomials(_Sql("hx"), _Sql("hy"), _Sql("hz"))
 
 
-@_query("sh_rotate", f"WITH {TRAIN_SQL} SELECT splat_id, " + ", ".join(f"{sql_rnd('+'.join(f'sh[{3 * k + i + 1}]*sh[{3 * k + i + 1}]' for k in range(l * l, (l + 1) ** 2)))} AS e{l}_{i}" for l in range(4) for i in range(3)) + " FROM t")
+@_query("sh_rotate", f"WITH {TRAIN_SQL} SELECT splat_id, " + ", ".join(f"{sql_rnd('+'.join(f'sh[{3 * k + i + 1}]*sh[{3 * k + i + 1}]' for k in range(l * l, (l + 1) ** 2)))} AS e{l}_{i}" for l in range(4) for i in range(3)) + ", " + ", ".join(f"{sql_rnd('+'.join(f'{_BACK[k]}*sh[{3 * k + i + 1}]' for k in range(16)))} AS {n}" for i, n in enumerate("rgb")) + f" FROM (SELECT *, " + ", ".join(f"{TURN[j]}*{_dx}+{TURN[3 + j]}*{_dy}+{TURN[6 + j]}*{_dz} AS h{a}" for j, a in enumerate("xyz")) + " FROM t)")
 def sh_rotate(spark, d):
-    """A turn keeps the energy of each band and channel."""
+    """A turn keeps the energy of each band and channel; turned harmonics seen along a direction have the colour of the
+    old ones along the direction turned back."""
     turned = views.cloud_train(spark, d).withColumn("w", sh.rotate(c("sh"), TURN, 3))
-    return turned.select("splat_id", *(rnd(_ENERGY(c("w"), l, i)).alias(f"e{l}_{i}") for l in range(4) for i in range(3)))
+    seen = zip("rgb", sh.evaluate(c("w"), 3, _DIR()))
+    return turned.select("splat_id", *(rnd(_ENERGY(c("w"), l, i)).alias(f"e{l}_{i}") for l in range(4) for i in range(3)), *(rnd(v).alias(n) for n, v in seen))
 
 
 @_query("sh_address", "SELECT CAST(k AS BIGINT) AS k, CAST(floor(sqrt(k)) AS INTEGER) AS l, CAST(k-floor(sqrt(k))*floor(sqrt(k)) AS INTEGER) AS n, CAST(k AS BIGINT) AS back FROM range(25) r(k)")
@@ -517,12 +525,18 @@ def voxel_fuse(spark, d):
 
 
 # Densification.
-@_query("fill_candidates", _NEAR + f", m AS (SELECT 0.05 AS med), g AS (SELECT t.splat_id, t.x, t.y, t.z, mean_d, gx, gy, gz, sqrt(gx*gx+gy*gy+gz*gz) AS gap FROM t JOIN stats USING (splat_id)) SELECT splat_id AS source, {sql_rnd('x+gx/gap*0.05')} AS x, {sql_rnd('y+gy/gap*0.05')} AS y, {sql_rnd('z+gz/gap*0.05')} AS z FROM g WHERE gap > 0.3*mean_d")
+_UNIT = ", ".join(f"(CASE WHEN rot_0<0 THEN -1 ELSE 1 END)*rot_{k}/{_norm} AS {n}" for n, k in zip(_NAMES, (1, 2, 3, 0)))
+_LONG = ", ".join(f"CASE WHEN scale_0>=scale_1 AND scale_0>=scale_2 THEN {_M[f'm{3 * k}']} WHEN scale_1>=scale_2 THEN {_M[f'm{3 * k + 1}']} ELSE {_M[f'm{3 * k + 2}']} END AS u{a}" for k, a in enumerate("xyz"))
+_CELLS = _NEAR + f", ordered AS (SELECT mean_d, row_number() OVER (ORDER BY mean_d) AS k, count(*) OVER () AS n FROM stats WHERE mean_d > 0), m AS (SELECT mean_d AS med FROM ordered WHERE k = n//2+1), g AS (SELECT t.*, mean_d, gx, gy, gz, sqrt(gx*gx+gy*gy+gz*gz) AS gap, med, {_UNIT} FROM t JOIN stats USING (splat_id), m), h AS (SELECT *, {_LONG}, gap > 0.3*mean_d AS rim FROM g)"
+
+
+@_query("fill_candidates", _CELLS + f" SELECT splat_id AS source, 0 AS side, {sql_rnd('x+gx/gap*med')} AS x, {sql_rnd('y+gy/gap*med')} AS y, {sql_rnd('z+gz/gap*med')} AS z, {sql_rnd('gx/gap')} AS dirx FROM h WHERE rim AND gap > 0 UNION ALL SELECT splat_id, side, {sql_rnd('x+side*0.5*mean_d*ux')}, {sql_rnd('y+side*0.5*mean_d*uy')}, {sql_rnd('z+side*0.5*mean_d*uz')}, 0.0 FROM h, (VALUES (-1), (1)) s(side) WHERE NOT rim AND mean_d > 1.05*med")
 def fill_candidates(spark, d):
-    """The rim branch; the sparse one follows the major axis, that has a query of its own."""
+    """All candidates, of rims and of sparse places, by the cloud's own median spacing."""
     t = views.cloud_train(spark, d)
-    out = densify.candidates(t, spatial.knn_stats(t, 8), 0.05).filter("candidate_id % 4 = 1 and (dirx <> 0 or diry <> 0 or dirz <> 0)")
-    return out.select("source", *(rnd(c(a)).alias(a) for a in "xyz"))
+    stats = cut(spatial.knn_stats(t, 8))
+    out = densify.candidates(t, stats, spatial.upper_median(stats, "mean_d"), densify.Config(sparse=1.05))
+    return out.select("source", (c("candidate_id") - c("source") * 4 - 1).cast("int").alias("side"), *(rnd(c(a)).alias(a) for a in ("x", "y", "z", "dirx")))
 
 
 @_query("rim_filter", _NEAR + " SELECT splat_id FROM stats WHERE sqrt(gx*gx+gy*gy+gz*gz) > 0.3*mean_d")
@@ -537,7 +551,7 @@ def sparse_filter(spark, d):
 
 @_query("fill_holes")
 def fill_holes(spark, d):
-    return densify.fill_holes(views.cloud_train(spark, d), densify.Config(iterations=1))[0]
+    return densify.fill_holes(views.cloud_train(spark, d))[0]
 
 
 # Scene graphs.
@@ -551,9 +565,31 @@ def scene_flatten(spark, d):
     return scene.flatten(*views.graph(spark, d)).select("node", t["linear"][0].alias("a"), t["linear"][4].alias("b"), *(t["translation"][k].alias(n) for k, n in enumerate(("tx", "ty", "tz"))), "depth")
 
 
-@_query("mesh_instances", "SELECT 'several_parents' AS problem, CAST(NULL AS BIGINT) AS node WHERE false")
+_BAD = "e AS (SELECT DISTINCT CAST(l_suppkey % 60 AS BIGINT) AS parent, CAST(l_partkey % 97 AS BIGINT) AS child FROM lineitem WHERE l_quantity = 1), n AS (SELECT DISTINCT CAST(p_partkey % 97 AS BIGINT) AS node FROM part WHERE p_partkey % 97 % 8 <> 3), o AS (SELECT CAST(r_regionkey AS BIGINT) AS node FROM region), ends AS (SELECT parent AS node FROM e UNION SELECT child FROM e UNION SELECT node FROM o), t AS (SELECT DISTINCT parent, child FROM e), reach AS (SELECT parent AS a, child AS b FROM t UNION SELECT a, child FROM reach JOIN t ON b=parent)"
+
+
+@_query("mesh_instances", f"WITH RECURSIVE {_BAD} SELECT 'several_parents' AS problem, child AS node FROM e GROUP BY child HAVING count(*) > 1 UNION ALL SELECT 'missing_node', node FROM ends WHERE node NOT IN (SELECT node FROM n) UNION ALL SELECT 'root_has_parent', node FROM o WHERE node IN (SELECT child FROM e) UNION ALL SELECT DISTINCT 'cycle', r.b FROM reach r JOIN reach s ON s.a=r.a AND s.b=r.a")
 def mesh_instances(spark, d):
-    return scene.graph_problems(*views.graph(spark, d))
+    """A graph with all kinds of faults; what stands behind a cycle is reported with it."""
+    li = table(spark, d, "lineitem").filter("l_quantity = 1")
+    edges = li.select((c("l_suppkey") % 60).cast("long").alias("parent"), (c("l_partkey") % 97).cast("long").alias("child"))
+    nodes = table(spark, d, "part").select((c("p_partkey") % 97).cast("long").alias("node")).distinct().filter("node % 8 <> 3")
+    return scene.graph_problems(nodes, edges, table(spark, d, "region").select(c("r_regionkey").cast("long").alias("node")))
+
+
+_CHAIN = "l AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT r_regionkey+25 FROM region), w AS (SELECT k, CAST(k % 2+1 AS DOUBLE) AS a, CAST(k % 3 AS DOUBLE) AS t FROM l), f AS (SELECT k, a, t FROM w WHERE k=0 UNION ALL SELECT w.k, f.a*w.a, f.t+f.a*w.t FROM f JOIN w ON w.k=f.k+1)"
+
+
+@_query("scene_flatten_deep", f"WITH RECURSIVE {_CHAIN} SELECT k AS node, a, t, CAST(k AS INTEGER) AS depth FROM f")
+def scene_flatten_deep(spark, d):
+    """A chain of 30 nodes."""
+    k = table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("node")).unionByName(table(spark, d, "region").select((c("r_regionkey") + 25).cast("long").alias("node")))
+    a, t, zero = (c("node") % 2 + 1).cast("double"), (c("node") % 3).cast("double"), F.lit(0.0)
+    linear = F.array(a, zero, zero, zero, a, zero, zero, zero, a)
+    nodes = k.select("node", F.struct(linear.alias("linear"), F.array(t, t, t).alias("translation")).alias("transform"))
+    edges = k.filter("node > 0").select((c("node") - 1).alias("parent"), c("node").alias("child"))
+    out = scene.flatten(nodes, edges, k.filter("node = 0"))
+    return out.select("node", c("transform")["linear"][0].alias("a"), c("transform")["translation"][2].alias("t"), "depth")
 
 
 @_query("ref_integrity", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 1000 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0)")
@@ -794,7 +830,8 @@ def preview_limit(spark, d):
 @_query("budget_totals", "SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) > 20000 AS over FROM part")
 def budget_totals(spark, d):
     """The running total of a resource against its limit."""
-    return table(spark, d, "part").select("p_partkey", (F.sum("p_size").over(Window.orderBy("p_partkey")) > 20000).alias("over"))
+    used = ranks.running(table(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], c("p_size").cast("long"), "used")
+    return used.select("p_partkey", (c("used") > 20000).alias("over"))
 
 
 # Strings and files.
@@ -818,9 +855,13 @@ def redact_path(spark, d):
     return _paths(spark, d).select("p_partkey", text.redact_path(c("path"), "basename").alias("base"), text.redact_path(c("path"), "relative", "/data/SMALL").alias("inside"))
 
 
-@_query("is_abs_path", f"WITH {_PATHS} SELECT p_partkey, true AS whole, false AS part FROM p")
+@_query("is_abs_path", f"WITH {_PATHS} SELECT p_partkey, p_partkey % 6 < 4 AS absolute FROM p")
 def is_abs_path(spark, d):
-    return _paths(spark, d).select("p_partkey", text.is_absolute(c("path")).alias("whole"), text.is_absolute(F.substring(c("path"), F.lit(2), F.length("path"))).alias("part"))
+    """From a root, a share, or a drive with either slash; a name, or a drive without a slash."""
+    k, bare = c("p_partkey") % 6, F.substring(c("path"), F.lit(2), F.length("path"))
+    made = F.when(k == 0, c("path")).when(k == 1, F.concat(F.lit("\\\\host\\"), bare)).when(k == 2, F.concat(F.lit("C:\\"), bare))
+    made = made.when(k == 3, F.concat(F.lit("d:/"), bare)).when(k == 4, bare).otherwise(F.concat(F.lit("c:"), bare))
+    return _paths(spark, d).select("p_partkey", text.is_absolute(made).alias("absolute"))
 
 
 @_query("scan_frames", f"WITH {_PATHS} SELECT p_partkey, CAST(regexp_extract(path, '(\\d+)\\.[^./]+$', 1) AS BIGINT) AS frame_number FROM p")
@@ -830,8 +871,8 @@ def scan_frames(spark, d):
 
 @_query("frame_order", f"WITH {_PATHS}, n AS (SELECT p_partkey, path, CAST(regexp_extract(path, '(\\d+)\\.[^./]+$', 1) AS BIGINT) AS k FROM p) SELECT p_partkey, CAST(row_number() OVER (ORDER BY k, path) AS INTEGER) AS place FROM n")
 def frame_order(spark, d):
-    numbered = _paths(spark, d).withColumn("k", files.frame_number(c("path")))
-    return numbered.select("p_partkey", F.row_number().over(Window.orderBy("k", "path")).alias("place"))
+    numbered = ranks.numbered(_paths(spark, d).withColumn("k", files.frame_number(c("path"))), ["k", "path"], "place")
+    return numbered.select("p_partkey", c("place").cast("int").alias("place"))
 
 
 @_query("scan_project", f"WITH {_PATHS} SELECT 'images' AS kind, count(*) FILTER (WHERE path LIKE '%.jpg') AS n_images, count(*) FILTER (WHERE path LIKE '%.jpg') < 20 AS few FROM p")
@@ -873,15 +914,21 @@ def strict_numbers(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.strict_int(k).alias("whole"), text.strict_int(F.concat(k, F.lit("x"))).alias("bad"), text.strict_float(F.concat(k, F.lit(".5"))).alias("real"))
 
 
-@_query("is_sha256", "SELECT page_id, true AS good, false AS bad FROM pages")
+@_query("is_sha256", "SELECT page_id, page_id % 5 = 0 AS good FROM pages")
 def is_sha256(spark, d):
-    h = F.sha2("url", 256)
-    return table(spark, d, "pages").select("page_id", text.is_sha256(h).alias("good"), text.is_sha256(F.upper(F.concat(h, F.lit("A")))).alias("bad"))
+    """A digest as it is, in capitals, cut, with one digit more, or with a letter that is no digit."""
+    h, k = F.sha2("url", 256), c("page_id") % 5
+    made = F.when(k == 0, h).when(k == 1, F.upper(F.concat(F.lit("a"), F.substring(h, 2, 63)))).when(k == 2, F.substring(h, 1, 63))
+    made = made.when(k == 3, F.concat(h, F.lit("0"))).otherwise(F.concat(F.substring(h, 1, 63), F.lit("g")))
+    return table(spark, d, "pages").select("page_id", text.is_sha256(made).alias("good"))
 
 
-@_query("utf8_len", "SELECT doc_id, true AS good FROM documents")
+@_query("utf8_len", "SELECT doc_id, doc_id % 5 = 0 AS good FROM documents")
 def utf8_len(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.is_utf8(c("text").cast("binary")).alias("good"))
+    """Texts as they are, or followed by an overlong form, a surrogate, a value beyond Unicode or half a character."""
+    k = c("doc_id") % 5
+    end = F.when(k == 0, F.lit("")).when(k == 1, F.lit("C080")).when(k == 2, F.lit("EDA080")).when(k == 3, F.lit("F4908080")).otherwise(F.lit("E282"))
+    return table(spark, d, "documents").select("doc_id", text.is_utf8(F.concat(c("text").cast("binary"), F.unhex(end))).alias("good"))
 
 
 @_query("color_space_parse", "SELECT c_custkey, 'srgb_rec709_display' AS space, c_custkey % 2 = 1 AS assumed FROM customer")

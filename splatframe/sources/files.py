@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,28 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
-    """Writes beside the target and renames, so readers see the old file or the whole new one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Writes beside the target and renames, so readers see the old file or the whole new one: one step on local file
+    systems and HDFS, also where a file is replaced."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(p) and not overwrite:
         raise SplatError("MK0501", f"{p.getName()} exists", "io")
-    held = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    held = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(held, False)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    if overwrite:
-        fs.delete(p, False)
-    if not fs.rename(held, p):
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark._sc._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if overwrite else kind.NONE
+    try:
+        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(held), fs.makeQualified(p), options)
+    except Exception as e:
         fs.delete(held, False)
-        raise SplatError("MK0502", f"{p.getName()} could not be put in place", "io")
+        raise SplatError("MK0502", f"{p.getName()} could not be put in place", "io") from e
 
 
 def write_local(path: str, data: bytes, overwrite: bool = False, sync: bool = False) -> None:
@@ -60,13 +67,16 @@ def same_file(a: str, b: str) -> bool:
 
 
 def contained(root: str, name: str) -> str:
-    """The real path of an external buffer, which must lie in root: no schemes, no parents, no links that lead out."""
-    if "://" in name or os.path.isabs(name) or ".." in name.replace("\\", "/").split("/"):
-        raise SplatError("MK2107", "unsafe path", "data")
-    base, path = os.path.realpath(root), os.path.realpath(os.path.join(root, name))
-    if os.path.commonpath([base, path]) != base:
+    """The path of an external buffer, which must lie in root: no schemes, no parents, no links that lead out."""
+    plain = unquote(name)
+    if ":" in plain or plain.startswith(("/", "\\")) or ".." in plain.replace("\\", "/").split("/") or "\0" in plain:
         raise SplatError("MK2107", "unsafe path", "data")
-    return path
+    local = root.removeprefix("file://")
+    if "://" not in local:  # other file systems have no links
+        base, path = os.path.realpath(local), os.path.realpath(os.path.join(local, plain))
+        if os.path.commonpath([base, path]) != base:
+            raise SplatError("MK2107", "unsafe path", "data")
+    return f"{root.rstrip('/')}/{plain}"
 
 
 def probe(content: Column) -> tuple[Column, Column]:

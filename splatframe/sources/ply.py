@@ -8,6 +8,7 @@ the driver joins them after the header, whose count the commits tell.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -137,20 +138,27 @@ def decode(rows: np.ndarray, header: Header, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, CANONICAL.names)
 
 
+_WHOLE = re.compile(rb"[+-]?[0-9]+")
+_REAL = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|inf|nan)", re.I)
+
+
 def parse_ascii(body: bytes, header: Header) -> np.ndarray:
-    """Whole tokens only, in range of their declared types."""
-    words = body.split()
+    """Whole tokens only, as many to a line as there are properties, in range of their declared types."""
+    lines = [x for x in (line.split() for line in body.split(b"\n")) if x][: header.count]
     width = len(header.properties)
-    if len(words) < width * header.count:
+    if len(lines) < header.count:
         raise SplatError("MK1210", "rows missing")
+    if any(len(x) != width for x in lines):
+        raise SplatError("MK1211", "values of a row")
+    words = [w for x in lines for w in x]
     out = np.zeros(header.count, dtype=header.dtype)
     table = [words[k :: width][: header.count] for k in range(width)]
     for (name, kind), column in zip(header.properties, table):
         code = TYPES[kind]
-        try:
-            values = [float(x) for x in column] if code[0] == "f" else [int(x) for x in column]
-        except ValueError:
-            raise SplatError("MK1211", name) from None
+        token = _REAL if code[0] == "f" else _WHOLE
+        if not all(map(token.fullmatch, column)):
+            raise SplatError("MK1211", name)
+        values = [float(x) for x in column] if code[0] == "f" else [int(x) for x in column]
         if code[0] != "f":
             info = np.iinfo(code)
             if any(not info.min <= v <= info.max for v in values):
@@ -232,6 +240,12 @@ def header_bytes(count: int, degree: int, encoding: str = "binary_little_endian"
     return "\n".join([*lines, *(f"property float {n}" for n in written_dtype(degree).names), "end_header", ""]).encode()
 
 
+def ascii_rows(rows: np.ndarray) -> bytes:
+    """A line for each row, with nine significant digits: what single precision needs."""
+    wide = np.stack([rows[n] for n in rows.dtype.names], axis=1)
+    return "".join(" ".join(format(float(v), ".9g") for v in row) + "\n" for row in wide).encode()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
@@ -241,7 +255,12 @@ class _Written(WriterCommitMessage):
 
 
 class PlyWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, degree: int, overwrite: bool):
+    """Parts are written beside the target, in a folder that driver and executors share, and joined in order."""
+
+    def __init__(self, path: str, degree: int, overwrite: bool, encoding: str = "binary_little_endian"):
+        if encoding not in ("ascii", "binary_little_endian"):
+            raise SplatError("MK1202", encoding)
+        self.encoding = encoding
         if degree > 3:
             raise SplatError("MK1213", "PLY has harmonics up to degree 3")
         self.path, self.degree, self.overwrite = path, degree, overwrite
@@ -255,7 +274,7 @@ class PlyWriter(DataSourceArrowWriter):
         with open(own, "wb") as f:
             for batch in iterator:
                 rows, n = encode(batch, self.degree)
-                f.write(rows.tobytes())
+                f.write(rows.tobytes() if self.encoding != "ascii" else ascii_rows(rows))
                 count, clamped = count + len(rows), clamped + n
         return _Written(own, count, clamped, at.partitionId())
 
@@ -265,7 +284,7 @@ class PlyWriter(DataSourceArrowWriter):
             self.abort(messages)
             raise SplatError("MK0501", os.path.basename(self.path), "io")
         with open(self.held, "wb") as out:
-            out.write(header_bytes(sum(m.count for m in parts), self.degree))
+            out.write(header_bytes(sum(m.count for m in parts), self.degree, self.encoding))
             for m in parts:
                 with open(m.path, "rb") as f:
                     while block := f.read(1 << 20):
@@ -293,4 +312,4 @@ class PlyDataSource(DataSource):
         return PlyReader(self.options["path"], int(self.options.get("rows", ROWS)))
 
     def writer(self, schema: StructType, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], int(self.options.get("degree", 0)), overwrite)
+        return PlyWriter(self.options["path"], int(self.options.get("degree", 0)), overwrite, self.options.get("encoding", "binary_little_endian"))
