@@ -381,7 +381,8 @@ def _applied(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[D
 
     keyed = docs.mapInArrow(run, schema)
     same = keyed[doc_id].eqNullSafe(per_doc[key]) & (keyed[th] == per_doc[per_doc.columns[1]])
-    return keyed.join(per_doc, same, "left").select(*docs.columns, runs), runs
+    # A merge join at every size: what is found grows with the documents, so a broadcast wouldn't last.
+    return keyed.join(per_doc.hint("merge"), same, "left").select(*docs.columns, runs), runs
 
 
 def _pairs(runs: list[dict] | None) -> list[tuple[int, int]]:
