@@ -28,22 +28,27 @@ class SplatError(ValueError):
         return EXIT_CODES[self.kind]
 
 
+U64 = (1 << 64) - 1
+#: Beyond these, sums over rows could leave 64 bits, or a plan could no longer be walked.
+CEILINGS = {"splats": 1 << 40, "triangles": 1 << 40, "depth": 4096, "ratio": 1 << 20}
+
+
 def limits(profile: str = "server", **changes) -> dict:
-    """A profile's limits with changes, checked: all positive, and decoded bytes not below input bytes."""
+    """A profile's limits with changes, checked: known, positive (0 is not unlimited), under their ceilings, and decoded
+    bytes not below input bytes."""
     if profile not in PROFILES:
         raise SplatError("MK0101", f"unknown profile {profile}", "argument")
     out = PROFILES[profile] | changes
     for name, value in out.items():
-        if value is not None and value <= 0:
+        if name not in PROFILES[profile] or value is None and PROFILES[profile][name] is not None or value is not None and value <= 0:
             raise SplatError("MK0102", name, "argument")
+        if value is not None and value > CEILINGS.get(name, U64):
+            raise SplatError("MK0203", name, "argument", requested=value, ceiling=CEILINGS.get(name, U64))
     if out["decoded_bytes"] < out["input_bytes"]:
         raise SplatError("MK0103", "decoded_bytes", "argument")
     return out
 
 
-U64 = (1 << 64) - 1
-
-
 def checked_add(a: int, b: int, what: str = "") -> int:
     if a + b > U64:
         raise SplatError("MK0104", what, "resource")

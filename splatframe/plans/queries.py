@@ -402,7 +402,7 @@ def _provenance(spark, d):
     ).alias("provenance"))
 
 
-@_query("sink_provenance")
+@_query("sink_provenance", f"WITH {_PROV} SELECT CAST(to_json({{'schema_version': sv, 'model_schema': ms, 'source_format': 'ply', 'source_sha256': sha, 'operations': [{{'name': op, 'tool_version': '1', 'parameters': MAP {{'p': par}}, 'timestamp': CAST(NULL AS VARCHAR)}}]}}) AS VARCHAR) AS document FROM p")
 def sink_provenance(spark, d):
     return validate.provenance_json(_provenance(spark, d))
 
@@ -817,9 +817,14 @@ def stream_sessions(spark, d):
     return frames.sessions(views.frames(spark, d), "6 hours").select("sequence", F.unix_micros("start").alias("start"), "n")
 
 
-@_query("latest_seek", f"WITH {FRAMES_SQL} SELECT DISTINCT frame AS token FROM f")
+@_query("latest_seek", f"WITH {FRAMES_SQL}, r AS (SELECT sequence, frame AS token, event_id, row_number() OVER (PARTITION BY sequence ORDER BY frame DESC, event_id DESC) AS k FROM f) SELECT sequence, token, event_id FROM r WHERE k=1")
 def latest_seek(spark, d):
-    return frames.latest(views.frames(spark, d).withColumn("token", c("frame"))).select("token")
+    return frames.latest(views.frames(spark, d).withColumn("token", c("frame")))
+
+
+@_query("distinct_seeks", f"WITH {FRAMES_SQL} SELECT DISTINCT frame AS token FROM f")
+def distinct_seeks(spark, d):
+    return frames.once(views.frames(spark, d).withColumn("token", c("frame"))).select("token")
 
 
 @_query("preview_limit", f"WITH {BIG_SQL} SELECT splat_id FROM b ORDER BY splat_id LIMIT 1000")

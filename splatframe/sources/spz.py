@@ -22,7 +22,7 @@ C0 = 0.28209479177387814
 
 
 def unpack(data: bytes, budget: Budget | None = None) -> dict[str, np.ndarray]:
-    """Canonical columns of versions 2 and 3."""
+    """Canonical columns of versions 1 (half-precision positions), 2 and 3."""
     budget = budget or Budget({k: v or 0 for k, v in limits().items()})
     try:
         stream = zlib.decompressobj(31)
@@ -34,12 +34,12 @@ def unpack(data: bytes, budget: Budget | None = None) -> dict[str, np.ndarray]:
     if len(head) < 16:
         raise SplatError("MK1301", "too short")
     magic, version, n, degree, fraction, _, _ = struct.unpack("<IIIBBBB", head)
-    if magic != MAGIC or version not in (2, 3):
+    if magic != MAGIC or version not in (1, 2, 3):
         raise SplatError("MK1302", f"version {version}", "unsupported")
     if n > MAX_POINTS or degree > 3 or fraction > 23:
         raise SplatError("MK1303", "header")
     rest = 3 * (coefficients(degree) - 1)
-    widths = {"position": 9, "alpha": 1, "color": 3, "scale": 3, "rotation": 3 if version == 2 else 4, "sh": rest}
+    widths = {"position": 6 if version == 1 else 9, "alpha": 1, "color": 3, "scale": 3, "rotation": 4 if version == 3 else 3, "sh": rest}
     need = n * sum(widths.values())
     budget.check_ratio(len(data), need + 16, "spz")
     try:
@@ -52,12 +52,17 @@ def unpack(data: bytes, budget: Budget | None = None) -> dict[str, np.ndarray]:
     for name, width in widths.items():
         parts[name] = np.frombuffer(body, np.uint8, n * width, at).reshape(n, width)
         at += n * width
-    p = parts["position"].reshape(n, 3, 3).astype(np.int32)
-    fixed = p[:, :, 0] | p[:, :, 1] << 8 | p[:, :, 2] << 16
-    position = (fixed - ((fixed & 0x800000) << 1)) / float(1 << fraction)
+    if version == 1:
+        position = np.ascontiguousarray(parts["position"]).view("<f2").astype(np.float64)
+        if not np.isfinite(position).all():
+            raise SplatError("MK1305", "position is not finite")
+    else:
+        p = parts["position"].reshape(n, 3, 3).astype(np.int32)
+        fixed = p[:, :, 0] | p[:, :, 1] << 8 | p[:, :, 2] << 16
+        position = (fixed - ((fixed & 0x800000) << 1)) / float(1 << fraction)
     dc = (parts["color"] / 255.0 - 0.5) / COLOR_SCALE
     sh = np.concatenate([dc[:, None, :], (parts["sh"].reshape(n, -1, 3) - 128.0) / 128.0], axis=1)
-    rotation = _rotation_first3(parts["rotation"]) if version == 2 else _rotation_smallest3(parts["rotation"])
+    rotation = _rotation_smallest3(parts["rotation"]) if version == 3 else _rotation_first3(parts["rotation"])
     return {"position": position, "scale": np.exp(parts["scale"] / 16.0 - 10.0), "rotation": rotation, "opacity": parts["alpha"][:, 0] / 255.0, "sh": sh, "degree": np.array(degree)}  # fmt: skip # noqa: E501
 
 
@@ -113,6 +118,11 @@ def check(columns: dict[str, np.ndarray], degree: int) -> None:
         raise SplatError("MK1310", "too many points", "resource")
     if degree > 3:
         raise SplatError("MK1311", "degree", "unsupported")
+    for name in ("position", "scale", "rotation", "opacity", "sh"):
+        if not np.isfinite(columns[name]).all():
+            raise SplatError("MK1313", f"{name} is not finite")
+    if not (columns["scale"] > 0).all() or not (np.abs(columns["rotation"]).max(axis=1, initial=0) > 0).all():
+        raise SplatError("MK1314", "scale or rotation")
     if not (np.abs(columns["position"]) < (1 << 23) / (1 << FRACTION)).all():
         raise SplatError("MK1312", "position range")
 

@@ -54,8 +54,18 @@ def sessions(df: DataFrame, gap: str, late: str = "1 hour", key: str = "sequence
     )
 
 
-def latest(df: DataFrame, late: str = "10 minutes", token: str = "token", time: str = "event_time") -> DataFrame:
-    """Each token once: stale repeats drop out while the watermark remembers them."""
+def latest(df: DataFrame, key: str = "sequence", token: str = "token", value: str = "event_id") -> DataFrame:
+    """(key, token, value): the newest seek of each sequence wins; of equal tokens the greatest value.
+
+    As a stream it runs in update mode, with one row of state for each sequence: a seek that comes after a newer one is
+    stale and changes nothing.
+    """
+    newest = df.groupBy(key).agg(F.max(F.struct(token, value)).alias("k"))
+    return newest.select(key, F.col(f"k.{token}").alias(token), F.col(f"k.{value}").alias(value))
+
+
+def once(df: DataFrame, late: str = "10 minutes", token: str = "token", time: str = "event_time") -> DataFrame:
+    """Each token once: repeats drop out while the watermark remembers them."""
     if df.isStreaming:
         return df.withWatermark(time, late).dropDuplicatesWithinWatermark([token])
     return df.dropDuplicates([token])

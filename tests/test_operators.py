@@ -198,3 +198,60 @@ def test_document_references():
 
 def test_big_cloud_is_whole(spark):
     assert entry.queries()["knn_big"](spark, SF).count() == views.cloud_big(spark, SF).count()
+
+
+def turned(q):
+    """Matrix of a quaternion (x, y, z, w)."""
+    x, y, z, w = q
+    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+
+
+def test_projected_discs(spark):
+    """The conic and radius of each splat from the projection's derivative, taken by differences."""
+    from splatframe.operators import render
+
+    camera = render.perspective(1.0, 48, 32, 0.1, 100.0, 3.0)
+    rows = views.cloud_train(spark, SF).orderBy("splat_id").limit(60)
+    source = {r["splat_id"]: r for r in rows.collect()}
+    view = np.array(camera.view).reshape(4, 4).T
+    limit = [render.MARGIN * np.tan(f / 2) for f in camera.fov]
+    seen = render.project(rows, camera).collect()
+    assert len(seen) > 30
+    for r in seen:
+        o = source[r["splat_id"]]
+        q = np.array([o[f"rot_{k}"] for k in (1, 2, 3, 0)])
+        m = turned(q / np.linalg.norm(q)) @ np.diag(np.exp([o[f"scale_{k}"] for k in range(3)]))
+        t = (view @ [o["x"], o["y"], o["z"], 1])[:3]
+        t = np.array([np.clip(t[0] / t[2], -limit[0], limit[0]) * t[2], np.clip(t[1] / t[2], -limit[1], limit[1]) * t[2], t[2]])
+        screen = lambda p: np.array([camera.focal[0] * p[0] / p[2], camera.focal[1] * p[1] / p[2]])
+        jac = np.stack([(screen(t + e) - screen(t - e)) / 2e-6 for e in np.eye(3) * 1e-6], axis=1)
+        flat = jac @ view[:3, :3] @ m @ m.T @ view[:3, :3].T @ jac.T + np.eye(2) * render.BLUR
+        conic = np.linalg.inv(flat)
+        assert np.allclose([r["conic_xx"], r["conic_xy"], r["conic_yy"]], [conic[0, 0], conic[0, 1], conic[1, 1]], rtol=1e-4, atol=1e-7)
+        mid = np.trace(flat) / 2
+        assert r["radius"] == pytest.approx(3 * np.sqrt(mid + np.sqrt(max(0.1, mid * mid - np.linalg.det(flat)))), abs=1.01)
+
+
+def test_mesh_discs(spark):
+    """Enhanced splats: half the mean spacing, thin along the normal, which the rotation gives."""
+    from splatframe.operators import mesh
+
+    source = {r["splat_id"]: r for r in views.vertices(spark, SF).collect()}
+    ids = np.array(sorted(source))
+    p = np.array([[source[k][a] for a in "xyz"] for k in ids], dtype=float)
+    near = brute_nearest(ids, p, 8)
+    out = mesh.enhanced(views.vertices(spark, SF)).collect()
+    assert sorted(r["splat_id"] for r in out) == ids.tolist()
+    for r in out:
+        v, k = source[r["splat_id"]], r["splat_id"]
+        scale = np.clip(0.5 * np.mean([d for _, d in near[k]]) * 0.5, 0.001, 0.1)
+        assert np.allclose(np.exp([r[f"scale_{j}"] for j in range(3)]), [scale, scale, 0.3 * scale])
+        assert 1 / (1 + np.exp(-r["opacity"])) == pytest.approx(0.95)
+        assert [r[a] for a in "xyz"] == [v[a] for a in "xyz"]
+        axis = turned([r[f"rot_{j}"] for j in (1, 2, 3, 0)])[:, 2]
+        if v["nx"] is not None:
+            assert np.allclose(axis, [v["nx"], v["ny"], v["nz"]], atol=1e-6)
+        else:
+            some = p[[int(np.flatnonzero(ids == j)[0]) for j in (k, *(j for j, _ in near[k]))]]
+            values, axes = np.linalg.eigh(np.cov(some.T, bias=True))
+            assert values[1] < 2 * values[0] or abs(abs(axis @ axes[:, 0]) - 1) < 1e-5
