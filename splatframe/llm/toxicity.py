@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; texts of the training fold, labelled or not, are the unlabelled sample. The
-class prior is the share of toxic rows among training labels. A linear model over word and word-start features
-minimises `prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))` in numpy. Labels of the held-out fold
+class prior is the share of toxic rows among training labels. A linear model over words, word starts, and word starts
+that several different words of the text have, minimises `prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))` in numpy. Labels of the held-out fold
 (crc32 of the id as text, modulo 5, is 0) are never read; ids, languages and sources are no features.
 
 Bounds: at most `max_positive` toxic and `max_unlabelled` other ids are fitted, picked by a hash of the id, with one
@@ -36,6 +36,8 @@ MAX_UNLABELLED = 5000
 MAX_FEATURES = 1024
 #: Letters of the word starts that are features beside whole words.
 STARTS = (4, 5, 6)
+#: A start is a feature again where so many different words of the text have it: in long texts one has it by chance.
+REPEATS = (2, 3)
 #: Chosen features that a positive needs before it stops to call for more; deviations from chance that a feature needs.
 COVER = 3
 LEAST_HOLDERS = 3
@@ -54,7 +56,12 @@ def word_features(word: bytes) -> list[bytes]:
 
 
 def features(text: bytes) -> set[bytes]:
-    return {f for w in set(words_of(text)) for f in word_features(w)}
+    return repeated(Counter(f for w in set(words_of(text)) for f in word_features(w)))
+
+
+def repeated(count: Counter[bytes]) -> set[bytes]:
+    """Features by the number of different words that have them: `#` and the number stand before those of REPEATS."""
+    return {*count, *(b"#%d%s" % (n, f) for f, have in count.items() if have > 1 for n in REPEATS if n <= have)}
 
 
 class LinearModel:
@@ -62,6 +69,7 @@ class LinearModel:
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
+        self._bare = {f[2:] if f.startswith(b"#") else f for f in weights}
         self._memo: dict[bytes, tuple[bytes, ...]] = {}
 
     def __getstate__(self):
@@ -73,11 +81,11 @@ class LinearModel:
     def _known(self, word: bytes) -> tuple[bytes, ...]:
         if len(self._memo) >= _MEMO:
             self._memo.clear()
-        found = self._memo[word] = tuple(f for f in word_features(word) if f in self.weights)
+        found = self._memo[word] = tuple(f for f in word_features(word) if f in self._bare)
         return found
 
     def score(self, text: bytes) -> float:
-        present: set[bytes] = set()
+        present: Counter[bytes] = Counter()
         memo = self._memo
         for word in set(words_of(text)):
             found = memo.get(word)
@@ -85,7 +93,7 @@ class LinearModel:
                 found = self._known(word)
             if found:
                 present.update(found)
-        z = self.bias + math.fsum(self.weights[f] for f in present)
+        z = self.bias + math.fsum(self.weights[f] for f in repeated(present) if f in self.weights)
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
