@@ -20,7 +20,7 @@ representatives().
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ BITMAP_BITS = 1 << 23
 A_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 _MEMO = 1 << 19
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def bands_for(recall: float, near: float, rows: int) -> int:
@@ -255,7 +256,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, scratch: Scratch, kept: Keep) -> tuple[DataFrame, DataFrame]:  # fmt: skip # noqa: E501
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[doc_id].dataType),
@@ -266,7 +267,7 @@ def _entities(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, sc
         ]
     )
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
-    signed = saved(picked.mapInArrow(_signature_pass(bands, rows), schema), "neardup-signatures")
+    signed = kept(picked.mapInArrow(_signature_pass(bands, rows), schema), "neardup-signatures")
     entities = (
         signed.filter("n > 0").groupBy("set_key")
         .agg(F.count("*").alias("mult"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -293,7 +294,7 @@ def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = TARGET_RECALL, rows: int = MOST_ROWS
 ) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), n_links (documents as near as NEAR)."""
-    signed, classes = _classes(docs, doc_id, text, recall, rows)
+    signed, classes = _classes(docs, doc_id, text, recall, rows, saved)
     found = signed.select("id", "n", "set_key").join(classes, "set_key", "left")
     alone = F.col("n") == 0
     return found.select(
@@ -303,11 +304,11 @@ def join(
     )
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures, and for each entity: set_key, mult, least_id, links, label, class_id."""
+def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int, kept: Keep) -> tuple[DataFrame, DataFrame]:
+    """Signatures, and for each entity: set_key, mult, least_id, links, label, class_id. kept() writes both tables."""
     with Scratch(docs.sparkSession) as scratch:
         bands = bands_for(recall, NEAR[0] / NEAR[1], rows)
-        signed, entities = _entities(docs, doc_id, text, bands, rows, scratch)
+        signed, entities = _entities(docs, doc_id, text, bands, rows, scratch, kept)
         met = _verified(docs, doc_id, text, entities, bands, rows, scratch)
         links = met.groupBy("set_key").agg(F.sum("links").alias("links"))
         labels = components(met.select(F.col("set_key").alias("a"), F.col("near").alias("b")))
@@ -323,7 +324,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, recall: float, rows: int)
         labelled = scratch.saved(labelled, "neardup-labels")
         # A table of its own: the join below then has plain sides, of which a hot one is split.
         least = scratch.saved(labelled.groupBy("label").agg(F.min("least_id").alias("class_id")), "neardup-least")
-        return signed, saved(labelled.join(least, "label"), "neardup-classes")
+        return signed, kept(labelled.join(least, "label"), "neardup-classes")
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, entities: DataFrame, bands: int, rows: int, scratch: Scratch) -> DataFrame:
@@ -376,15 +377,16 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows of the least id that have different texts are told apart by hashes of the texts; the least hash stays.
     """
-    signed, classes = _classes(docs, doc_id, text, recall, rows)
     key, th = new_name(docs.columns, "key"), new_name(docs.columns, "th")
-    first = classes.filter(F.col("least_id").eqNullSafe(F.col("class_id"))).select("set_key", "label", "least_id").alias("f")
-    place = (
-        signed.filter("n > 0").select("id", "th", "set_key").alias("s")
-        .join(first, (F.col("s.set_key") == F.col("f.set_key")) & F.col("s.id").eqNullSafe(F.col("f.least_id")))
-        .groupBy("f.label").agg(F.min(F.struct("s.id", "s.th")).alias("k"))
-    )
-    kept = saved(place.select(F.col("k.id").alias(key), F.col("k.th").alias(th)), "neardup-kept")
+    with Scratch(docs.sparkSession) as scratch:
+        signed, classes = _classes(docs, doc_id, text, recall, rows, scratch.saved)
+        first = classes.filter(F.col("least_id").eqNullSafe(F.col("class_id"))).select("set_key", "label", "least_id").alias("f")
+        place = (
+            signed.filter("n > 0").select("id", "th", "set_key").alias("s")
+            .join(first, (F.col("s.set_key") == F.col("f.set_key")) & F.col("s.id").eqNullSafe(F.col("f.least_id")))
+            .groupBy("f.label").agg(F.min(F.struct("s.id", "s.th")).alias("k"))
+        )
+        kept = saved(place.select(F.col("k.id").alias(key), F.col("k.th").alias(th)), "neardup-kept")
     hashed = new_name([*docs.columns, th], "hash")
     marked = docs.withColumn(hashed, F.xxhash64(F.col(text)))
     once = (

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splatframe.llm.common import saved, slices, texts_of
+from splatframe.llm.common import Scratch, saved, slices, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -192,7 +192,11 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 def thresholds(measures: DataFrame) -> DataFrame:
     """One row for each (lang, source) of measures, null included, with low_ and high_ of each measure."""
-    sketch = saved(sketches(measures), "quality-sketch")
+    with Scratch(measures.sparkSession) as scratch:
+        return saved(_thresholds(measures, scratch.saved(sketches(measures), "quality-sketch")), "quality-thresholds")
+
+
+def _thresholds(measures: DataFrame, sketch: DataFrame) -> DataFrame:
     groups = measures.select("lang", "source").distinct()
     fine, lang, whole = (_fences(sketch, k) for k in (["lang", "source"], ["lang"], []))
     fences = [f"{x}_{m}" for m in MEASURES for x in ("low", "high")]
