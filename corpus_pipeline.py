@@ -1,11 +1,17 @@
-"""The corpus pipeline: five training-data operators in a row, each on all that the one before kept."""
+"""The corpus pipeline: five training-data operators in a row, each on all that the one before kept.
+
+Null and empty texts, and null ids, pass all stages: they have no toxic words, lines, shingles or benchmark words, and
+encode to no tokens. Of ties and repeated rows the near-duplicate stage keeps one; those without a word all stay. Very
+long texts are taken whole. Extra columns, of any name, are kept up to the last stage. An empty table gives an empty one.
+A model that has no toxic label to learn from rejects nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from splatframe.llm import bpe, decontaminate, linededup, neardup, toxicity
-from splatframe.llm.common import saved, table
+from splatframe.llm.common import Scratch, saved, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Tables between stages are deleted when it is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    with Scratch(spark) as scratch:
+        for k, (name, stage) in enumerate(STAGES):
+            keep = saved if k == len(STAGES) - 1 else scratch.saved
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return docs
