@@ -41,10 +41,6 @@ MIN_WORDS = 50
 _ALL = 1 << 62
 
 
-def _text_hash(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
 def least_lines(words: np.ndarray, min_words: int) -> np.ndarray:
     """For each line, how many lines from it on have min_words words; 0 where the text ends before."""
     total = np.concatenate(([0], np.cumsum(words)))
@@ -59,20 +55,20 @@ def _lines_pass(min_words: int):
         digest = xxhash.xxh3_128_digest
         for whole in batches:
             for batch in slices(whole):
-                rows, hashes, places, names, least = [], [], [], [], []
+                rows, places, names, least = [], [], [], []
                 for k, text in enumerate(texts_of(batch)):
                     split = [x for x in (line.split() for line in text.split(b"\n")) if x]
                     words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
                     if words.sum() < min_words:
                         continue
                     rows += [k] * len(split)
-                    hashes += [_text_hash(text)] * len(split)
                     places += range(len(split))
                     names += [digest(b" ".join(x)) for x in split]
                     least += least_lines(words, min_words).tolist()
+                at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["id"].take(pa.array(rows, pa.int32())), pa.array(hashes, pa.int64()), pa.array(places, pa.int64()),
+                        batch["id"].take(at), batch["th"].take(at), pa.array(places, pa.int64()),
                         pa.array(names, pa.binary()), pa.array(least, pa.int64()),
                     ],
                     ["id", "th", "pos", "name", "least"],
@@ -92,7 +88,7 @@ def _suffixes(docs: DataFrame, doc_id: str, text: str, min_words: int, scratch:
             T.StructField("least", T.LongType()),
         ]
     )
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     lines = scratch.saved(picked.mapInArrow(_lines_pass(min_words), schema), "lines-all")
     place = F.xxhash64("id", "th", "pos")  # rows stored repeatedly have the same places
     names = lines.select("name", place.alias("h")).groupBy("name").agg(F.min("h").alias("a"), F.max("h").alias("b"))
@@ -371,15 +367,7 @@ def _applied(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[D
     per_doc = copies.groupBy(F.col("id").alias(key), F.col("th").alias(new_name([*docs.columns, th], "copy_th"))).agg(
         F.collect_list(F.struct("first", "lines")).alias(runs)
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField(th, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text):
-                hashes = pa.array([_text_hash(x) for x in texts_of(batch, text)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, hashes], schema.names)
-
-    keyed = docs.mapInArrow(run, schema)
+    keyed = docs.withColumn(th, F.xxhash64(F.col(text)))
     same = keyed[doc_id].eqNullSafe(per_doc[key]) & (keyed[th] == per_doc[per_doc.columns[1]])
     # A merge join at every size: what is found grows with the documents, so a broadcast wouldn't last.
     return keyed.join(per_doc.hint("merge"), same, "left").select(*docs.columns, runs), runs

@@ -255,3 +255,13 @@ def test_mesh_discs(spark):
             some = p[[int(np.flatnonzero(ids == j)[0]) for j in (k, *(j for j, _ in near[k]))]]
             values, axes = np.linalg.eigh(np.cov(some.T, bias=True))
             assert values[1] < 2 * values[0] or abs(abs(axis @ axes[:, 0]) - 1) < 1e-5
+
+
+def test_inspection_document(spark):
+    import json
+
+    queries = entry.queries()
+    document = json.loads(queries["inspect_json"](spark, SF).first()["document"])
+    assert list(document) == ["schema", "cloud"] and document["schema"] == "splat.inspect.v1"
+    row = queries["inspect_cloud"](spark, SF).first().asDict()
+    assert document["cloud"] == row and list(document["cloud"]) == list(row)
