@@ -109,7 +109,7 @@ def _doubled(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, pos, q, least, key) of all suffixes with their whole keys, each of which occurs once."""
     state = suffixes.select("d", "pos", "q", "least", "key", F.lit(True).alias("open"), F.lit(-1).alias("round"))
     done, k = [], 0
-    while not state.filter("open").isEmpty():
+    while not state.filter("open").isEmpty():  # each round is short plans over written tables
         step = 1 << k
         by_text = Window.partitionBy("d")
         ahead = F.first("key").over(by_text.orderBy("pos").rangeBetween(step, step))
@@ -130,7 +130,8 @@ def _doubled(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
         state = scratch.saved(named.unionByName(ends).unionByName(kept), "lines-state")
         done.append(state.filter((F.col("round") == k) & ~F.col("open")))
         k += 1
-    return reduce(DataFrame.unionByName, done or [state]).select("d", "pos", "q", "least", "key")
+    whole = reduce(DataFrame.unionByName, done or [state]).select("d", "pos", "q", "least", "key")
+    return scratch.saved(whole, "lines-keys")  # one table: it is read again and again
 
 
 def _neighbours_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
