@@ -107,7 +107,7 @@ def _suffixes(docs: DataFrame, doc_id: str, text: str, min_words: int, scratch:
 
 def _doubled(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, pos, q, least, key) of all suffixes with their whole keys, each of which occurs once."""
-    state = suffixes.select("d", "pos", "q", "least", "key", F.lit(True).alias("open"), F.lit(-1).alias("round"))
+    state = suffixes.select("d", "pos", "q", "least", "key", F.lit(True).alias("open"), F.lit(False).alias("fresh"))
     done, k = [], 0
     while not state.filter("open").isEmpty():  # each round is short plans over written tables
         step = 1 << k
@@ -123,12 +123,12 @@ def _doubled(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
         names = scratch.saved(ordered.withColumn("next", F.monotonically_increasing_id()), "lines-names")
         columns = ["d", "pos", "q", "least"]
         longer = lambda x: F.concat("key", F.array(x)).alias("key")
-        named = still.join(names, ["n", "ahead"]).select(*columns, longer(F.col("next")), F.col("again").alias("open"), F.lit(k).alias("round"))
+        named = still.join(names, ["n", "ahead"]).select(*columns, longer(F.col("next")), F.col("again").alias("open"), F.lit(True).alias("fresh"))
         # Behind such a suffix the text ends or a line follows that stands once: before all others, by its own place.
-        ends = still.filter("ahead is null").select(*columns, longer(-F.col("q") - 1), F.lit(False).alias("open"), F.lit(k).alias("round"))
-        kept = known.filter("not open").select(*columns, "key", "open", "round")
+        ends = still.filter("ahead is null").select(*columns, longer(-F.col("q") - 1), F.lit(False).alias("open"), F.lit(True).alias("fresh"))
+        kept = known.filter("not open").select(*columns, "key", "open", F.lit(False).alias("fresh"))
         state = scratch.saved(named.unionByName(ends).unionByName(kept), "lines-state")
-        done.append(state.filter((F.col("round") == k) & ~F.col("open")))
+        done.append(state.filter("fresh and not open"))  # no round's number in a plan: generated code is used again
         k += 1
     whole = reduce(DataFrame.unionByName, done or [state]).select("d", "pos", "q", "least", "key")
     return scratch.saved(whole, "lines-keys")  # one table: it is read again and again
